@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from lexquarry.llm import shared
 from lexquarry.llm import textbytes as tb
+from lexquarry.llm.bloom import Bloom
 
 K, WINDOW = 5, 6
 SPAN = K + WINDOW - 1
@@ -58,11 +59,6 @@ def _short_hash(words: np.ndarray, size: int) -> np.ndarray:
     return tb.mix(tb.gram_hashes(words, size) ^ np.uint64(size))
 
 
-def _bits(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    mask = np.uint64(FILTER_BITS - 1)
-    return hashes & mask, (hashes >> np.uint64(32)) & mask
-
-
 def _context(raw: bytes, starts: np.ndarray, ends: np.ndarray, a: int, b: int) -> str:
     return b" ".join([raw[starts[i] : ends[i]] for i in range(a, b)]).decode()
 
@@ -101,22 +97,11 @@ def item_prints(items: DataFrame) -> DataFrame:
     return items.select("item_id", "text").mapInArrow(run, f"item_id {kind}, {_PRINT}").drop("pos").distinct()
 
 
-def _filter(prints: DataFrame) -> np.ndarray:
-    """The Bloom filter: at most FILTER_BITS / 64 numbers reach the driver."""
-    mask = FILTER_BITS - 1
-    bit = F.explode(F.array(F.col("hash").bitwiseAND(F.lit(mask)), F.shiftrightunsigned("hash", 32).bitwiseAND(F.lit(mask))))
-    words = prints.select(bit.alias("bit")).select(F.shiftright("bit", 6).alias("word"), F.expr("shiftleft(1L, cast(bit & 63 as int))").alias("mask")).groupBy("word").agg(F.bit_or("mask").alias("mask")).toPandas()
-    out = np.zeros(FILTER_BITS // 64, np.int64)
-    out[words["word"].to_numpy(np.int64)] = words["mask"].to_numpy(np.int64)
-    return np.unpackbits(out.view(np.uint8), bitorder="little").view(bool)
-
-
-def document_prints(docs: DataFrame, bloom: np.ndarray, sizes: list[int]) -> DataFrame:
+def document_prints(docs: DataFrame, bloom: Bloom, sizes: list[int]) -> DataFrame:
     """(doc_id, n_words, prints): the fingerprints that may be in the filter, for every row of docs."""
-    sent = docs.sparkSession.sparkContext.broadcast(np.packbits(bloom))
+    sent = docs.sparkSession.sparkContext.broadcast(bloom)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(sent.value).view(bool)
         for part in tb.slices(batches, "text"):
             raw, starts, ends, words, row = _words(part)
             first, last = np.searchsorted(row, np.arange(len(part))), np.searchsorted(row, np.arange(len(part)), "right")
@@ -128,8 +113,7 @@ def document_prints(docs: DataFrame, bloom: np.ndarray, sizes: list[int]) -> Dat
                 whole = np.flatnonzero(row[: len(h)] == row[size - 1 : size - 1 + len(h)])
                 looked.append((whole, h[whole], size, False))
             for at, h, size, winnow in looked:
-                one, two = _bits(h)
-                ok = bits[one] & bits[two]
+                ok = sent.value.has(h)
                 for a, x in zip(at[ok], h[ok], strict=True):
                     r = row[a]
                     p = _prints(raw, starts, ends, first[r], last[r], a, size, x)
@@ -162,7 +146,7 @@ def hits(docs: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Documents as (row, doc_id, n_words), and spans as (row, item_id, start, end) in words."""
     prints = shared.checkpointed(item_prints(items))
     sizes = sorted(r[0] for r in prints.where("size > 0").select("size").distinct().collect())
-    found = shared.cut(document_prints(docs, _filter(prints), sizes).withColumn("row", F.monotonically_increasing_id()))
+    found = shared.cut(document_prints(docs, Bloom(prints, "hash", FILTER_BITS), sizes).withColumn("row", F.monotonically_increasing_id()))
     sides = found.where("size(prints) > 0").select("row", F.explode("prints").alias("p")).select("row", "p.*")
     # the order of spark's choice: only rows that passed the filter are shuffled here, and a hash that many documents
     # hold is split by the adaptive skew join

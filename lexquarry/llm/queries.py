@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexquarry.llm import bpe, decontaminate, partenum, pii, quality, secrets, warc
+from lexquarry.llm import bpe, decontaminate, licenses, linededup, partenum, pii, quality, secrets, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,10 +23,19 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scanned(_table(spark, sf_dir, "documents"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = linededup.deduped(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_chunks", "n_removed_lines", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scanned(_table(spark, sf_dir, "documents"))
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scanned(_table(spark, sf_dir, "documents"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.fit(docs, _table(spark, sf_dir, "labels"))
@@ -67,6 +76,32 @@ SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes,
 FROM p
 """
 
+OP3_SQL = """
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+h AS (SELECT doc_id, l, list_transform(l, lambda x: CAST('0x' || substr(md5(x), 1, 8) AS BIGINT)) AS h FROM d),
+b AS (SELECT doc_id, l, list_filter(range(1, len(l) + 1), lambda i: i = len(l) OR (i >= 3 AND (h[i] + 31 * h[i - 1] + 961 * h[i - 2]) % 4 = 0)) AS b FROM h),
+c AS (SELECT doc_id, l, b, k, CASE WHEN k = 1 THEN 1 ELSE b[k - 1] + 1 END AS s, b[k] AS e FROM (SELECT doc_id, l, b, unnest(range(1, len(b) + 1)) AS k FROM b)),
+t AS (SELECT doc_id, k, s, e, array_to_string(l[s:e], chr(10)) AS t FROM c),
+f AS (SELECT *, e > s AND length(t) >= e - s + 1 AND row_number() OVER (PARTITION BY t, e > s ORDER BY doc_id, s) > 1 AS gone FROM t)
+SELECT doc_id, sum(e - s + 1)::BIGINT AS n_lines, count(*) AS n_chunks, coalesce(sum(e - s + 1) FILTER (WHERE gone), 0)::BIGINT AS n_removed_lines,
+  sha256(coalesce(string_agg(t, chr(10) ORDER BY k) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM f GROUP BY doc_id
+"""
+_WORDS_5 = r"regexp_extract_all(translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+OP5_SQL = f"""
+WITH d AS (SELECT doc_id, {_WORDS_5.format("text")} AS w, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+ph(p, label) AS (VALUES {", ".join(f"('{p}', '{x}')" for p, x in licenses.PHRASES.items())}),
+pl AS (SELECT doc_id, label, i FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d) JOIN ph ON array_to_string(w[i:i + len(string_split(p, ' ')) - 1], ' ') = p),
+base AS (SELECT doc_id, count(*) AS n_base, min(i) - 1 AS first_word, max(i) - 1 AS last_word FROM pl GROUP BY 1),
+tp(label, t) AS (SELECT label, list_distinct({_WORDS_5.format("t")}) FROM (VALUES {", ".join(f"('{x}', '{t}')" for x, t in licenses.TEMPLATES)}) v(label, t)),
+ln AS (SELECT doc_id, list_distinct({_WORDS_5.format("x")}) AS b FROM (SELECT doc_id, unnest(lines) AS x FROM d)),
+m AS (SELECT doc_id, label, len(list_intersect(b, t)) / len(t) AS c FROM ln JOIN tp ON len(list_intersect(b, t)) >= ceil({licenses.CONTAINED} * len(t) - 1e-9)),
+score AS (SELECT doc_id, max(c) AS score FROM m GROUP BY 1),
+one AS (SELECT doc_id, string_agg(label, ',' ORDER BY label) AS base_labels FROM (SELECT DISTINCT doc_id, label FROM pl) GROUP BY 1),
+two AS (SELECT doc_id, string_agg(label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM pl UNION SELECT doc_id, label FROM m) GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0)::DOUBLE AS score
+FROM d LEFT JOIN base USING (doc_id) LEFT JOIN score USING (doc_id) LEFT JOIN one USING (doc_id) LEFT JOIN two USING (doc_id)
+"""
 OP9_SQL = r"""
 WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, array_to_string(w[p:p + 2], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 2))) AS p FROM d WHERE len(w) > 0)),
@@ -83,7 +118,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontaminate": op1_decontaminate,
         "op2_pii": op2_pii,
+        "op3_line_dedup": op3_line_dedup,
         "op4_secrets": op4_secrets,
+        "op5_licenses": op5_licenses,
         "op6_quality_rules": op6_quality_rules,
         "op8_bpe": op8_bpe,
         "op9_ngram_jaccard": op9_ngram_jaccard,
@@ -92,4 +129,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": OP1_SQL, "op9_ngram_jaccard": OP9_SQL, "op10_warc": OP10_SQL}
+    return {"op1_decontaminate": OP1_SQL, "op3_line_dedup": OP3_SQL, "op5_licenses": OP5_SQL, "op9_ngram_jaccard": OP9_SQL, "op10_warc": OP10_SQL}

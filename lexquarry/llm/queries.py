@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexquarry.llm import bpe, decontaminate, licenses, linededup, partenum, pii, quality, secrets, warc
+from lexquarry.llm import bpe, decontaminate, licenses, linededup, partenum, pii, quality, secrets, suffixes, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +42,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(docs, model).drop("text")
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.deduped(_table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"))
 
@@ -122,6 +126,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_secrets": op4_secrets,
         "op5_licenses": op5_licenses,
         "op6_quality_rules": op6_quality_rules,
+        "op7_suffix_dedup": op7_suffix_dedup,
         "op8_bpe": op8_bpe,
         "op9_ngram_jaccard": op9_ngram_jaccard,
         "op10_warc": op10_warc,

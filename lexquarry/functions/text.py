@@ -63,9 +63,9 @@ def slug(c: Col, most: int | None = 80) -> Column:
 def index_text(c: Col) -> Column:
     """CJK runs as overlapping bigrams (a single character stays), set apart by blanks; other text as it is."""
     x = _c(c)
+    apart = F.regexp_replace(x, rf"([{CJK}]+)", " $1 ")
     # a character inside a run ends one pair and begins the next
-    doubled = F.regexp_replace(x, rf"(?<=[{CJK}])([{CJK}])(?=[{CJK}])", "$1 $1")
-    return F.regexp_replace(doubled, rf"([{CJK}]+)", " $1 ")
+    return F.regexp_replace(apart, rf"(?<=[{CJK}])([{CJK}])(?=[{CJK}])", "$1 $1")
 
 
 def terms(c: Col) -> Column:
@@ -198,7 +198,7 @@ def display_name(c: Col) -> Column:
 
 def authors(c: Col) -> Column:
     """Names split at semicolons, `and` and commas."""
-    return F.filter(F.transform(F.split(_c(c), r";|\s+and\s+|,"), F.trim), lambda a: a != "")
+    return F.filter(F.transform(F.split(_c(c), r";|\s+and\s+|,"), lambda a: F.trim(a)), lambda a: a != "")
 
 
 def frontmatter(c: Col) -> Column:
@@ -221,9 +221,9 @@ def scalar_field(block: Col, name: str) -> Column:
 def list_field(block: Col, name: str) -> Column:
     """An inline `[a, "b,c"]` or block `  - a` list of a frontmatter block; null if missing."""
     inline = found(block, rf"(?m)^{name}:[ \t]*\[(.*)\][ \t]*$")
-    items = F.transform(F.regexp_extract_all(inline, F.lit(r"""((?:"[^"]*"|'[^']*'|[^,"'])+)"""), 1), F.trim)
+    items = F.transform(F.regexp_extract_all(inline, F.lit(r"""((?:"[^"]*"|'[^']*'|[^,"'])+)"""), 1), lambda v: F.trim(v))
     lines = found(block, rf"(?m)^{name}:[ \t]*((?:\n  - .*)+)")
-    listed = F.transform(F.regexp_extract_all(lines, F.lit(r"(?m)^  - (.*)$"), 1), F.trim)
+    listed = F.transform(F.regexp_extract_all(lines, F.lit(r"(?m)^  - (.*)$"), 1), lambda v: F.trim(v))
     clean = lambda a: F.filter(F.transform(a, lambda v: F.regexp_replace(v, r"""^(["'])(.*)\1$""", "$2")), lambda v: v != "")
     return F.coalesce(clean(items), clean(listed))
 

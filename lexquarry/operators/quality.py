@@ -111,7 +111,7 @@ def conversion_gates(conversions: DataFrame) -> DataFrame:
     md, text = F.coalesce("md", F.lit("")), t.body(F.coalesce("md", F.lit("")))
     words = t.word_count(text)
     leftover = F.regexp_count(t.prose(text), F.lit(LEFTOVER_TEX))
-    kinds = F.filter(F.transform(t.image_targets(md), t.image_kind), lambda k: ~k.isin("portable", "external"))
+    kinds = F.filter(F.transform(t.image_targets(md), lambda x: t.image_kind(x)), lambda k: ~k.isin("portable", "external"))
     claimed = t.arxiv_id(F.substring(md, 1, 2000))
     gate = lambda ok, code, severity, detail: F.when(ok, F.struct(F.lit(code).alias("code"), F.lit(severity).alias("severity"), detail.cast("string").alias("detail")))
     checks = F.array(
@@ -151,10 +151,10 @@ def formulas(docs: DataFrame) -> DataFrame:
     """(path, kind, line, formula): display and inline formulas outside of fenced code with the line they start in."""
     # fences keep their line ends, so lines still count right
     text = F.regexp_replace("raw_text", r"(?ms)^```.*?^```", "\n")
-    blocks = docs.select("path", text.alias("x")).select("path", F.lit("display").alias("kind"), F.expr(r"regexp_instr(x, r'\$\$')").alias("at"), F.col("x"))
+    blocks = docs.select("path", text.alias("x"))
     d = blocks.select("path", F.posexplode(F.split("x", r"\$\$", -1)).alias("i", "part"), F.split("x", r"\$\$", -1).alias("parts"))
     line = F.expr("1 + length(array_join(slice(parts, 1, i), '')) - length(replace(array_join(slice(parts, 1, i), ''), '\n', ''))")
-    display = d.where("i % 2 = 1 and i < size(parts) - 1").select("path", F.lit("display").alias("kind"), line.alias("line"), F.trim("part").alias("formula"))
+    display = d.where("i % 2 = 1 and i < size(parts) - 1").select("path", F.lit("display").alias("kind"), line.alias("line"), F.regexp_replace("part", r"\A\s+|\s+\z", "").alias("formula"))
     plain = d.where("i % 2 = 0").select("path", line.alias("first"), F.posexplode(F.split("part", "\n", -1)).alias("j", "l"))
     inline = plain.select("path", F.lit("inline").alias("kind"), (F.col("first") + F.col("j")).alias("line"), F.explode(F.regexp_extract_all("l", F.lit(r"\$([^$\n]+)\$"), 1)).alias("formula"))
     return display.unionByName(inline)

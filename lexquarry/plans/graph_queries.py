@@ -121,10 +121,10 @@ def c2_resolve(spark, d):
 
 
 @query(""", bi AS (SELECT source_id AS a, target_id AS b FROM edges WHERE type <> 'has_tag' UNION SELECT target_id, source_id FROM edges WHERE type <> 'has_tag'),
-w AS (SELECT a AS s, b AS e, [a, b] AS p, 1 AS h FROM bi WHERE a = 'wiki/concepts/p0' AND b <> a UNION ALL SELECT s, b, list_append(p, b), h + 1 FROM w JOIN bi ON a = e WHERE h < 3 AND NOT list_contains(p, b) AND e <> 'wiki/concepts/p3')
-SELECT array_to_string(p, ' > ') AS path, h AS hops FROM w WHERE e = 'wiki/concepts/p3' ORDER BY hops, path LIMIT 5""")
+w AS (SELECT a AS s, b AS e, [a, b] AS p, 1 AS h FROM bi WHERE a = 'wiki/concepts/p0' AND b <> a UNION ALL SELECT s, b, list_append(p, b), h + 1 FROM w JOIN bi ON a = e WHERE h < 3 AND NOT list_contains(p, b) AND e <> 'wiki/concepts/p120')
+SELECT array_to_string(p, ' > ') AS path, h AS hops FROM w WHERE e = 'wiki/concepts/p120' ORDER BY hops, path LIMIT 5""")
 def c2_paths(spark, d):
-    return g.paths(web_graph(spark, d), "wiki/concepts/p0", "wiki/concepts/p3")
+    return g.paths(web_graph(spark, d), "wiki/concepts/p0", "wiki/concepts/p120")
 
 
 @query("""SELECT source_id, target_id, type FROM edges UNION SELECT doc_id, id, 'has_claim' FROM claims UNION SELECT id, replace(source, '.md', ''), 'supported_by' FROM claims WHERE source_type = 'local_wiki'""")

@@ -61,13 +61,17 @@ def deduped(docs: DataFrame, divisor: int = DIVISOR, min_lines: int = MIN_LINES)
     """All columns of docs with repeated chunks cut out of the text, and n_lines, n_chunks, n_removed_lines."""
     gone = repeated(docs, divisor, min_lines).select(F.col("doc_id").alias("__id"), F.col("hash").alias("__hash"), "starts")
     columns = [c for c in docs.columns if c not in ("n_lines", "n_chunks", "n_removed_lines")]
-    d = docs.select(*columns).withColumn("__key", F.expr(f"xxhash64({_TEXT})"))
-    d = d.join(gone, F.expr("doc_id <=> __id and __key = __hash"), "left").drop("__id", "__hash", "__key")
+    # the other columns travel in a struct, so their names can't clash with those used here
+    d = docs.select("doc_id", "text", F.struct(*(c for c in columns if c != "text")).alias("rest")).withColumn("h", F.expr(f"xxhash64({_TEXT})"))
+    d = d.join(gone, F.expr("doc_id <=> __id and h = __hash"), "left").drop("__id", "__hash", "h")
     kept = "array_join(flatten(transform(filter(chunks, c -> not array_contains(starts, c.start)), c -> slice(lines, c.start, c.lines))), '\\n')"
     d = chunked(d, divisor).drop("key")
-    d = d.withColumn("n_lines", F.expr("cast(size(lines) as bigint)")).withColumn("n_chunks", F.expr("cast(size(chunks) as bigint)"))
-    d = d.withColumn("n_removed_lines", F.expr("cast(if(starts is null, 0, aggregate(filter(chunks, c -> array_contains(starts, c.start)), 0, (a, c) -> a + c.lines)) as bigint)"))
-    d = d.withColumn("text", F.expr(f"if(starts is null, text, {kept})")).drop("lines", "chunks", "starts")
+    removed = "aggregate(filter(chunks, c -> array_contains(starts, c.start)), 0, (a, c) -> a + c.lines)"
+    out = f"""named_struct('text', if(starts is null, text, {kept}), 'n_lines', cast(size(lines) as bigint), 'n_chunks', cast(size(chunks) as bigint),
+        'n_removed_lines', cast(if(starts is null, 0, {removed}) as bigint))"""
+    # a generator, so that a later filter on these columns is not pushed below and computed anew for every line
+    d = d.select("rest", F.inline(F.expr(f"array({out})")))
+    d = d.select(*("text" if c == "text" else F.col("rest")[c].alias(c) for c in columns), "n_lines", "n_chunks", "n_removed_lines")
     if "n_chars" in columns:
         d = d.withColumn("n_chars", F.expr("if(n_removed_lines = 0, n_chars, cast(char_length(text) as bigint))"))
     return d

@@ -8,8 +8,8 @@ its own, and only files in the manifest of finished tasks are read, so tasks tha
 The reader decompresses in chunks, takes headers up to the empty line and then as many bytes as the content length
 says, and recomputes the digests of responses. What can't be read ends that archive with a row that has `error`.
 
-Cases: pages of the same id and payload give one response and revisits that refer to that id; a null page_id comes
-after all others; a null url has no target.
+Cases: rows that repeat the smallest id of a payload are all responses; a null page_id comes after all others; a null
+url has no target.
 """
 
 from __future__ import annotations
@@ -58,10 +58,10 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
 def assigned(pages: DataFrame) -> DataFrame:
     """(page_id, url, payload, refers_to, revisit). The payload is shuffled once, by its hash; a hash that many pages
     share is split by the adaptive skew join, and the smallest id of each hash is aggregated before its shuffle."""
-    p = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("payload"), F.monotonically_increasing_id().alias("row")).withColumn("hash", F.sha2("payload", 256))
-    first = p.groupBy("hash").agg(F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "row")).alias("first"))
-    revisit = F.col("row") != F.col("first.row")
-    return p.join(first, "hash").select("page_id", "url", "payload", F.when(revisit, F.col("first.page_id")).alias("refers_to"), revisit.alias("revisit"))
+    p = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("payload")).withColumn("hash", F.sha2("payload", 256))
+    first = p.groupBy("hash").agg(F.min("page_id").alias("first"))  # null only if all are
+    revisit = ~F.col("page_id").eqNullSafe(F.col("first"))
+    return p.join(first, "hash").select("page_id", "url", "payload", F.when(revisit, F.col("first")).alias("refers_to"), revisit.alias("revisit"))
 
 
 def written(pages: DataFrame, folder: str | None = None, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:

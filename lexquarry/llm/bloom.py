@@ -15,9 +15,9 @@ class Bloom:
         h = F.col(column) if isinstance(column, str) else column
         bit = F.explode(F.array(h.bitwiseAND(F.lit(bits - 1)), F.shiftrightunsigned(h, 32).bitwiseAND(F.lit(bits - 1))))
         word = hashes.select(bit.alias("bit")).select(F.shiftright("bit", 6).alias("word"), F.expr("shiftleft(1L, cast(bit & 63 as int))").alias("mask"))
-        word = word.groupBy("word").agg(F.bit_or("mask").alias("mask")).toPandas()
+        word = word.groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()  # as columns: rows would be a hundred times as large
         out = np.zeros(bits // 64, np.int64)
-        out[word["word"].to_numpy(np.int64)] = word["mask"].to_numpy(np.int64)
+        out[word["word"].to_numpy()] = word["mask"].to_numpy()
         self.bits, self.words = bits, out.view(np.uint64)
 
     def has(self, hashes: np.ndarray) -> np.ndarray:

@@ -8,9 +8,10 @@ repeat at all, which is found exactly:
 2. A run is a maximal series of windows with one anchor. Of runs of equal bytes (128 bits of hashes) the first is
    kept; all windows of the others start earlier somewhere, so they are done.
 3. First runs that share an anchor but differ may still share some windows. They are cut into blocks of BLOCK, then
-   FEW windows, on a grid that is fixed by the anchor; the bytes that all windows of a block have in common, its core,
-   get a name, and blocks of a core that occurs once are left out. A block is then a short string of symbols: the
-   bytes to the left, the core's name, the bytes to the right; its windows are prefixes of that string's suffixes.
+   FEW windows, on a grid that is fixed by the anchor; of equal blocks again only the first is kept. The bytes that
+   all windows of a block have in common, its core, get a name, and blocks of a core that occurs once are left out. A
+   block is then a short string of symbols: the bytes to the left, the core's name, the bytes to the right; its
+   windows are prefixes of that string's suffixes.
 4. These strings are sorted by the difference-cover method (cover {1, 2} modulo 3): triples of symbols at sampled
    places are sorted and named in order; as a window has FEW symbols, one more than a triple, the names of one level
    tell suffixes apart as far as needed and the recursion ends there. The remaining suffixes are merged by their first
@@ -121,7 +122,7 @@ def runs(docs: DataFrame, repeated: Bloom) -> DataFrame:
             r.only(sent.value.has(tb.mix(_cut(r.anchor))))
             h = tb.span_hashes(part.data, r.lo, r.hi + SPAN)
             two = tb.span_hashes(_OTHER[part.data], r.lo, r.hi + SPAN)
-            code = (r.lo - part.starts[r.row]) * 128 + r.hi - r.lo
+            code = _codes(part, r)
             yield pa.RecordBatch.from_arrays([_long(h), _long(two), _long(r.anchor), pa.array(_ids(part)[r.row]), pa.array(code)], ["h0", "h1", "anchor", "doc_id", "code"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "h0 long, h1 long, anchor long, doc_id long, code long")
@@ -131,58 +132,113 @@ def runs(docs: DataFrame, repeated: Bloom) -> DataFrame:
 _OTHER = np.random.default_rng(5).permutation(256).astype(np.uint8)
 
 
+def _block_table(part: tb.Slice, r: Runs) -> dict[str, np.ndarray]:
+    """The blocks of runs: k (its run), c (where its core starts), zero (where its window 0 would start), t0 and t1."""
+    grid0, grid1 = (r.at - r.hi) // BLOCK, (r.at - r.lo) // BLOCK
+    many = grid1 - grid0 + 1
+    k = np.repeat(np.arange(len(many)), many)
+    grid = grid0[k] + np.arange(len(k)) - np.repeat(np.cumsum(many) - many, many)
+    c = r.at[k] - grid * BLOCK
+    zero = c - (BLOCK - 1)
+    return {"k": k, "grid": grid, "c": c, "zero": zero, "t0": np.maximum(r.lo[k] - zero, 0), "t1": np.minimum(r.hi[k] - zero, BLOCK - 1)}
+
+
+def _open_runs(part: tb.Slice, r: Runs, differing: Bloom, first: Bloom) -> Runs:
+    """First runs that share an anchor with others."""
+    ids, code = _ids(part), _codes(part, r)
+    return r.only(differing.has(r.anchor) & first.has(_place(ids[r.row], code)))
+
+
+def _codes(part: tb.Slice, r: Runs) -> np.ndarray:
+    return (r.lo - part.starts[r.row]) * 128 + r.hi - r.lo
+
+
+def _block_codes(part: tb.Slice, r: Runs, t: dict[str, np.ndarray]) -> np.ndarray:
+    return (t["zero"] + t["t0"] - part.starts[r.row[t["k"]]]) * 128 + t["t1"] - t["t0"]
+
+
 def blocks(docs: DataFrame, differing: Bloom, first: Bloom) -> DataFrame:
-    """(grid, c0, c1, left, right, doc_id, at, t0, t1): the blocks of first runs that share an anchor with others.
+    """(f0, f1, doc_id, code, grid, c0, c1, left, right, at, t0, t1): the blocks of first runs that share an anchor.
 
-    at is where the block's window 0 would start; windows t0 to t1 belong to the run. c0, c1: hashes of the core.
+    f0, f1: hashes of all bytes of the block's windows; c0, c1: of its core. code: as for runs. at is where the block's
+    window 0 would start; windows t0 to t1 belong to the run.
     """
     sent = docs.sparkSession.sparkContext.broadcast((differing, first))
     core = SPAN - BLOCK + 1
     binary = pa.binary(BLOCK - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one, two = sent.value
         for part in tb.slices(batches, "text"):
-            r = Runs(part)
-            ids = _ids(part)
-            code = (r.lo - part.starts[r.row]) * 128 + r.hi - r.lo
-            r.only(one.has(r.anchor) & two.has(_place(ids[r.row], code)))
-            grid0, grid1 = (r.at - r.hi) // BLOCK, (r.at - r.lo) // BLOCK
-            many = grid1 - grid0 + 1
-            k = np.repeat(np.arange(len(many)), many)
-            grid = grid0[k] + np.arange(len(k)) - np.repeat(np.cumsum(many) - many, many)
-            c = r.at[k] - grid * BLOCK
-            zero = c - (BLOCK - 1)
-            t0, t1 = np.maximum(r.lo[k] - zero, 0), np.minimum(r.hi[k] - zero, BLOCK - 1)
+            r = _open_runs(part, Runs(part), *sent.value)
+            t = _block_table(part, r)
+            k, c, zero = t["k"], t["c"], t["zero"]
             padded = np.concatenate((np.zeros(SPAN, np.uint8), part.data, np.zeros(SPAN, np.uint8)))
             side = np.arange(BLOCK - 1)
             left, right = padded[SPAN + zero[:, None] + side], padded[SPAN + c[:, None] + core + side]
-            row = r.row[k]
+            row, other = r.row[k], _OTHER[part.data]
+            a, b = zero + t["t0"], zero + t["t1"] + SPAN
             yield pa.RecordBatch.from_arrays(
-                [pa.array(grid, pa.int32()), _long(tb.span_hashes(part.data, c, c + core)), _long(tb.span_hashes(_OTHER[part.data], c, c + core)),
+                [_long(tb.span_hashes(part.data, a, b)), _long(tb.span_hashes(other, a, b)), pa.array(_ids(part)[row]), pa.array(_block_codes(part, r, t)), pa.array(t["grid"], pa.int32()),
+                 _long(tb.span_hashes(part.data, c, c + core)), _long(tb.span_hashes(other, c, c + core)),
                  *(pa.FixedSizeBinaryArray.from_buffers(binary, len(k), [None, pa.py_buffer(np.ascontiguousarray(s).tobytes())]).cast(pa.binary()) for s in (left, right)),
-                 pa.array(ids[row]), pa.array(zero - part.starts[row]), pa.array(t0, pa.int32()), pa.array(t1, pa.int32())],
-                ["grid", "c0", "c1", "left", "right", "doc_id", "at", "t0", "t1"],
+                 pa.array(zero - part.starts[row]), pa.array(t["t0"], pa.int32()), pa.array(t["t1"], pa.int32())],
+                ["f0", "f1", "doc_id", "code", "grid", "c0", "c1", "left", "right", "at", "t0", "t1"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "grid int, c0 long, c1 long, `left` binary, `right` binary, doc_id long, at long, t0 int, t1 int")
+    return docs.select("doc_id", "text").mapInArrow(run, "f0 long, f1 long, doc_id long, code long, grid int, c0 long, c1 long, `left` binary, `right` binary, at long, t0 int, t1 int")
 
 
-def strings(found: DataFrame) -> DataFrame:
-    """(core, symbols, doc_id, at, w0, w1): short strings of symbols, for blocks of FEW windows whose core repeats."""
-    key = ["grid", "c0", "c1"]
-    often = found.groupBy(*key).agg(F.count("*").alias("many")).where("many > 1").select(*key)
-    some = found.join(often, key)
-    parts = F.explode(F.expr(f"sequence(0, {BLOCK // FEW - 1})"))
-    small = some.withColumn("u", parts).where(f"t0 < {FEW} * (u + 1) and t1 >= {FEW} * u")
-    small = small.withColumn("a", F.expr(f"substring(`left`, {FEW} * u + {FEW}, {BLOCK - FEW} - {FEW} * u)")).withColumn("b", F.expr(f"substring(`right`, 1, {FEW} * u)"))
+def first_blocks(found: DataFrame) -> DataFrame:
+    """Of equal blocks the first: (doc_id, code, grid, c0, c1, left, right, at, t0, t1)."""
+    row = F.struct("doc_id", "code", "grid", "c0", "c1", "left", "right", "at", "t0", "t1")
+    return found.groupBy("f0", "f1").agg(F.min(row).alias("b")).select("b.*")
+
+
+def small_blocks(first: DataFrame) -> DataFrame:
+    """(k0, k1, l, r, w0, w1, doc_id, at): blocks of FEW windows, for blocks whose core others have too.
+
+    k0, k1: hashes of the small block's own core; l, r: its bytes to the left and right as one number each, those that
+    belong to none of its windows w0 to w1 as zero.
+    """
+    often = first.groupBy("grid", "c0", "c1").agg(F.count("*").alias("many")).where("many > 1")
+    # a false positive adds small blocks whose cores are counted exactly later
+    sent = first.sparkSession.sparkContext.broadcast(Bloom(often, "c0", FILTER_BITS // 2))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(sent.value.has(b.column(b.schema.get_field_index("c0")).to_numpy().view(np.uint64))))
+
+    small = first.drop("code").mapInArrow(run, first.drop("code").schema).withColumn("u", F.explode(F.expr(f"sequence(0, {BLOCK // FEW - 1})"))).where(f"t0 < {FEW} * (u + 1) and t1 >= {FEW} * u")
+    small = small.selectExpr("*", f"greatest(t0 - {FEW} * u, 0) as w0", f"least(t1 - {FEW} * u, {FEW - 1}) as w1", f"substring(`left`, {FEW} * u + {FEW}, {BLOCK - FEW} - {FEW} * u) as a", f"substring(`right`, 1, {FEW} * u) as b")
     byte = lambda side, i: f"cast(conv(hex(substring(`{side}`, {FEW} * u + {i + 1}, 1)), 16, 10) as bigint)"
-    small = small.selectExpr(*key, "u", "a", "b", *(f"{byte('left', i)} as l{i}" for i in range(FEW - 1)), *(f"{byte('right', i)} as r{i}" for i in range(FEW - 1)), "doc_id", f"at + {FEW} * u as at", f"greatest(t0 - {FEW} * u, 0) as w0", f"least(t1 - {FEW} * u, {FEW - 1}) as w1")
-    whole = [*key, "u", "a", "b"]
-    named = small.groupBy(*whole).agg(F.count("*").alias("many")).where("many > 1").select(*whole)
+    l = " + ".join(f"if(w0 <= {i}, {256 ** (2 - i)} * {byte('left', i)}, 0)" for i in range(FEW - 1))  # noqa: E741
+    r = " + ".join(f"if(w1 > {i}, {256 ** (2 - i)} * {byte('right', i)}, 0)" for i in range(FEW - 1))
+    core = "grid, c0, c1, u, a, b"
+    return small.selectExpr(f"xxhash64({core}) as k0", f"xxhash64(1, {core}) as k1", f"{l} as l", f"{r} as r", "w0", "w1", "doc_id", f"at + {FEW} * u as at")
+
+
+_SMALL = ["k0", "k1", "l", "r", "w0", "w1"]
+
+
+def first_small(small: DataFrame) -> DataFrame:
+    """Of equal small blocks the first, and how many there are."""
+    return small.groupBy(*_SMALL).agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count("*").alias("many"))
+
+
+def later_small(small: DataFrame, once: DataFrame) -> DataFrame:
+    """(doc_id, code): the small blocks that aren't the first of their kind."""
+    later = small.join(once.where("many > 1").select(*_SMALL, "first"), _SMALL).where(F.struct("doc_id", "at") != F.col("first"))
+    return later.selectExpr("doc_id", "(at + w0) * 128 + w1 - w0 as code")
+
+
+def strings(once: DataFrame) -> DataFrame:
+    """(core, symbols, doc_id, at, w0, w1): small blocks as strings of symbols, if their core repeats."""
+    named = once.groupBy("k0", "k1").agg(F.count("*").alias("many")).where("many > 1").select("k0", "k1")
     # names above the bytes' values; checkpointed, as the numbers must not change when a task is run again
     named = shared.checkpointed(named.withColumn("core", F.monotonically_increasing_id() + 256))
-    return small.join(named, whole).selectExpr("core", "array(l0, l1, l2, core, r0, r1, r2) as symbols", "doc_id", "at", "w0", "w1")
+    byte = lambda c, i: f"shiftright({c}, {16 - 8 * i}) & 255"
+    symbols = "array(" + ", ".join([byte("l", i) for i in range(3)] + ["core"] + [byte("r", i) for i in range(3)]) + ")"
+    return once.join(named, ["k0", "k1"]).selectExpr("core", f"{symbols} as symbols", "first.doc_id", "first.at", "w0", "w1")
 
 
 def triple_names(triples: DataFrame) -> DataFrame:
@@ -191,24 +247,42 @@ def triple_names(triples: DataFrame) -> DataFrame:
     return shared.checkpointed(order.withColumn("name", F.monotonically_increasing_id()))
 
 
-def repeated_windows(found: DataFrame) -> DataFrame:
-    """(doc_id, start) of windows in strings(...) that also start earlier, by the difference cover {1, 2} modulo 3.
+def window_rows(found: DataFrame) -> DataFrame:
+    """(x, y, z, w, other, doc_id, start): each window of strings(...) as a sampled triple and one symbol more.
 
     Of places 0 to 6 of a string, 1, 2, 4 and 5 are sampled. The windows at 1 and 2 are a sampled triple and the symbol
     after it; those at 0 and 3, which aren't sampled, are a symbol and the sampled triple after it.
     """
     w = "struct({}l as w, symbols[{}] as x, symbols[{}] as y, symbols[{}] as z, symbols[{}] as other)"
     rows = found.select("doc_id", "at", "w0", "w1", F.explode(F.expr("array(" + ", ".join((w.format(0, 1, 2, 3, 0), w.format(1, 1, 2, 3, 4), w.format(2, 2, 3, 4, 5), w.format(3, 4, 5, 6, 3))) + ")")).alias("s"))
-    rows = rows.where("s.w between w0 and w1").selectExpr("s.x", "s.y", "s.z", "s.w", "s.other", "doc_id", "at + s.w as start")
-    rows = shared.cut(rows)
-    ranked = rows.join(triple_names(rows.select("x", "y", "z")), ["x", "y", "z"]).select("w", "name", "other", F.struct("doc_id", "start").alias("place"))
-    ranked = shared.cut(ranked)
+    return rows.where("s.w between w0 and w1").selectExpr("s.x", "s.y", "s.z", "s.w", "s.other", "doc_id", "at + s.w as start")
+
+
+def named_rows(rows: DataFrame) -> DataFrame:
+    """(w, name, other, place): the triples replaced by their names in sorted order."""
+    return rows.join(triple_names(rows.select("x", "y", "z")), ["x", "y", "z"]).select("w", "name", "other", F.struct("doc_id", "start").alias("place"))
+
+
+def repeated_windows(ranked: DataFrame) -> DataFrame:
+    """(doc_id, start) of windows that also start earlier: merged suffixes that agree on the whole window."""
     first = ranked.groupBy("w", "name", "other").agg(F.min("place").alias("first"), F.max("place").alias("last")).where("first <> last").drop("last")
     return ranked.join(first, ["w", "name", "other"]).where("place <> first").select("place.doc_id", "place.start")
 
 
-def places(docs: DataFrame) -> tuple[Bloom, DataFrame, DataFrame]:
-    """A filter of the anchors that repeat, the first runs (doc_id, code), and the repeated windows (doc_id, start)."""
+def repeated_places(first: DataFrame) -> DataFrame:
+    """(doc_id, code) of the repeated windows in first_blocks(...)."""
+    small = shared.cut(small_blocks(first))
+    once = shared.cut(first_small(small))
+    rows = shared.cut(window_rows(strings(once)))
+    ranked = shared.cut(named_rows(rows))
+    out = shared.cut(later_small(small, once).union(repeated_windows(ranked).selectExpr("doc_id", "start * 128 as code")))
+    shared.drop(small, once, rows, ranked)
+    return out
+
+
+def places(docs: DataFrame) -> tuple[tuple[Bloom, Bloom, Bloom], DataFrame, DataFrame]:
+    """Filters of the anchors that repeat, of those of differing runs, and of first runs; the first runs and blocks
+    (doc_id, code), which stay unless other windows of theirs are repeated; and the repeated windows (doc_id, code)."""
     often = anchors(docs).groupBy("anchor").agg(F.sum("many").alias("many")).where("many > 1")
     often = shared.cut(often.select("anchor"))
     repeated = Bloom(_mixed(often), "hash", FILTER_BITS)
@@ -216,8 +290,10 @@ def places(docs: DataFrame) -> tuple[Bloom, DataFrame, DataFrame]:
     first = shared.cut(first.select("anchor", "place.doc_id", "place.code"))
     differing = Bloom(first.groupBy("anchor").agg(F.count("*").alias("many")).where("many > 1"), "anchor", FILTER_BITS // 2)
     variants = Bloom(_placed(first), "hash", FILTER_BITS)
-    windows = repeated_windows(strings(shared.cut(blocks(docs, differing, variants))))
-    return repeated, first.select("doc_id", "code"), windows
+    cut = shared.cut(first_blocks(blocks(docs, differing, variants)))
+    windows = repeated_places(cut)
+    shared.drop(often)
+    return (repeated, differing, variants), first.select("doc_id", "code").union(cut.select("doc_id", -1 - F.col("code"))), windows
 
 
 def _mixed(anchor: DataFrame) -> DataFrame:
@@ -252,20 +328,26 @@ def kept_spans(size: int, starts: np.ndarray, ends: np.ndarray) -> tuple[list[tu
 def deduped(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) for each row; kept: the rest as bytes, null if all is kept."""
     docs = docs.select("doc_id", "text")
-    repeated, first, windows = places(docs)
-    sent = docs.sparkSession.sparkContext.broadcast(repeated)
+    filters, first, windows = places(docs)
+    sent = docs.sparkSession.sparkContext.broadcast(filters)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        repeated, differing, variants = sent.value
         for part in tb.slices(batches, "text"):
             r = Runs(part)
-            r.only(sent.value.has(tb.mix(_cut(r.anchor))))
-            code = (r.lo - part.starts[r.row]) * 128 + r.hi - r.lo
-            bounds = np.searchsorted(r.row, np.arange(len(part) + 1))
+            r.only(repeated.has(tb.mix(_cut(r.anchor))))
+            row, code = r.row, _codes(part, r)
+            r = _open_runs(part, r, differing, variants)
+            t = _block_table(part, r)
+            # runs as they are, blocks as negative numbers
+            row, code = np.concatenate((row, r.row[t["k"]])), np.concatenate((code, -1 - _block_codes(part, r, t)))
+            order = np.argsort(row, kind="stable")
+            bounds = np.searchsorted(row[order], np.arange(len(part) + 1))
             texts = [part.text(i) for i in range(len(part))]
             yield pa.RecordBatch.from_arrays(
                 [part.rows.column(0), pa.array(_ids(part)), pa.array(part.ends - part.starts), pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string()),
-                 pa.array([t if b > a else None for t, a, b in zip(texts, bounds[:-1], bounds[1:], strict=True)], pa.binary()), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(code))],
+                 pa.array([t if b > a else None for t, a, b in zip(texts, bounds[:-1], bounds[1:], strict=True)], pa.binary()), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(code[order]))],
                 ["doc_id", "id", "n_bytes", "kept_sha256", "body", "codes"],
             )
 
@@ -277,7 +359,7 @@ def deduped(docs: DataFrame) -> DataFrame:
     rows = docs.mapInArrow(read, f"doc_id {kind}, id long, n_bytes long, kept_sha256 string, body binary, codes array<long>")
     # lists of one document's places: bounded by its length
     firsts = first.groupBy(F.col("doc_id").alias("id")).agg(F.collect_set("code").alias("first"))
-    later = windows.groupBy(F.col("doc_id").alias("id")).agg(F.collect_set("start").alias("windows"))
+    later = windows.groupBy(F.col("doc_id").alias("id")).agg(F.collect_set("code").alias("windows"))
     empty = F.array().cast("array<long>")
     rows = rows.join(firsts, "id", "left").join(later, "id", "left")
     rows = rows.select("doc_id", "n_bytes", "kept_sha256", "body", F.array_except("codes", F.coalesce("first", empty)).alias("codes"), F.coalesce("windows", empty).alias("windows"))
@@ -292,7 +374,8 @@ def _without(b: pa.RecordBatch) -> pa.RecordBatch:
             removed.append(0), spans.append(0), sha.append(old.as_py()), kept.append(None)
             continue
         text = body.as_py()
-        keep, n = kept_spans(len(text), np.concatenate((codes // 128, windows)), np.concatenate((codes // 128 + codes % 128 + SPAN, windows + SPAN)))
+        codes = np.concatenate((np.where(codes < 0, -1 - codes, codes), windows))
+        keep, n = kept_spans(len(text), codes // 128, codes // 128 + codes % 128 + SPAN)
         rest = b"".join([text[s:e] for s, e in keep])
         removed.append(len(text) - len(rest)), spans.append(n), sha.append(hashlib.sha256(rest).hexdigest()), kept.append(rest)
     return pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(sha, pa.string()), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])

@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from lexquarry.functions import text as t
 
 # Headings whose sections are not indexed outside of raw sources.
-BOILERPLATE = ("references", "bibliography", "see also", "external links", "acknowledgements", "acknowledgments", "related", "backlinks", "参考文献", "参考资料", "另见", "致谢")
+BOILERPLATE = (
+    "see also", "sources", "references", "related", "further reading", "参考文献", "相关条目", "另见", "来源",
+    "语义关联 (semantic links)", "语义关联", "semantic links",
+)
 SLICE_LINES = 250
 
 

@@ -17,8 +17,9 @@ from lexquarry.functions import text as t
 
 LINK_TYPES = ("wikilink", "has_claim", "supported_by")
 BROKEN_TYPES = ("wikilink", "supported_by")
-NODE_TYPES = ("concept", "reference", "topic", "thesis", "synthesis", "claim", "tag")
-DIRECTORY_TYPES = {"concepts": "concept", "references": "reference", "topics": "topic", "theses": "thesis", "syntheses": "synthesis"}
+# The kinds of nodes, and the folders that decide them.
+NODE_TYPES = ("concept", "reference", "topic", "thesis", "claim", "tag")
+DIRECTORY_TYPES = {"concepts": "concept", "references": "reference", "theses": "thesis", "topics": "topic"}
 
 
 class Graph(NamedTuple):
@@ -28,11 +29,20 @@ class Graph(NamedTuple):
     aliases: DataFrame
 
 
+def parent(path: Column) -> Column:
+    """The name of a file's folder."""
+    return F.regexp_extract(path, r"([^/]*)/[^/]*$", 1)
+
+
+def directory_type(path: Column) -> Column:
+    return F.coalesce(*(F.when(parent(path) == d, v) for d, v in DIRECTORY_TYPES.items()))
+
+
 def node_type(path: Column, declared: Column) -> Column:
-    """The directory decides; a declared type wins only if it is a known one, and outside known directories anyway."""
-    directory = F.get(F.split(path, "/"), F.lit(1))
-    mapped = F.coalesce(*(F.when(directory == d, v) for d, v in DIRECTORY_TYPES.items()))
-    return F.when(declared.isin(*NODE_TYPES), declared).otherwise(F.coalesce(mapped, declared, directory))
+    """The folder decides; a declared type wins only if it is a known one. In other folders it is the declared type,
+    or the folder's name."""
+    said, mapped = F.nullif(F.lower(F.trim(declared)), F.lit("")), directory_type(path)
+    return F.when(mapped.isNotNull(), F.when(said.isin(*NODE_TYPES), said).otherwise(mapped)).otherwise(F.coalesce(said, parent(path)))
 
 
 def link_table(cards: DataFrame) -> DataFrame:

@@ -86,7 +86,7 @@ def c1_fused_search(spark, d):
     n, q = 30, _query_vector(spark, d)
     lex = retrieval.ranked(retrieval.bm25(_federated(spark, d), QUERY), "score", n)
     sem = retrieval.ranked(retrieval.nearest(vectors(spark, d), q, n), "distance", n)
-    return retrieval.fused(lex, sem, 10).select("kb", "chunk_id", "score", "bm25_rank", "vector_rank")
+    return retrieval.fused(lex, sem, 10).select("kb", "chunk_id", "score", *(F.col(c).cast("long").alias(c) for c in ("bm25_rank", "vector_rank")))
 
 
 @query("")

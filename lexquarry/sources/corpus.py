@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexquarry.functions import text as t
-from lexquarry.operators.graph import node_type
+from lexquarry.operators.graph import directory_type, node_type
 
 
 def markdown(spark: SparkSession, root: str, folders: tuple[str, ...] = ("wiki", "raw", "drafts"), kb: str = "") -> DataFrame:
@@ -34,7 +34,7 @@ def cards(docs: DataFrame) -> DataFrame:
     field = lambda n: F.coalesce(t.scalar_field(F.col("block"), n), F.lit(""))
     listed = lambda n: F.coalesce(t.list_field(F.col("block"), n), F.array().cast("array<string>"))
     kind = node_type(F.col("path"), t.scalar_field(F.col("block"), "type"))
-    category = F.coalesce(t.scalar_field(F.col("block"), "category"), F.get(F.split("path", "/"), F.lit(1)))
+    category = F.coalesce(t.scalar_field(F.col("block"), "category"), directory_type(F.col("path")), F.lit(""))
     return d.select("path", field("title").alias("title"), kind.alias("type"), category.alias("category"), field("summary").alias("summary"), field("created").alias("created"), field("updated").alias("updated"), listed("tags").alias("tags"), listed("aliases").alias("aliases"), t.wikilinks(t.body("text")).alias("links"))
 
 

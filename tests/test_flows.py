@@ -146,8 +146,12 @@ def test_document_rules(spark):
     assert {r.detail for r in quality.missing_fields(d).collect()} == {"title", "category", "created", "updated", "tags", "summary"}
     assert [r.detail for r in quality.broken_wikilinks(d).collect()] == ["zz"]
     assert [r.detail for r in quality.dead_markdown_links(d).collect()] == ["no.md"]
-    assert {r.path for r in quality.stale(d, "2024-12-31").collect()} == {"wiki/a.md", "wiki/x/b.md"}
-    assert quality.placeholders(spark.createDataFrame([("a", "x\nTODO y")], "path string, raw_text string")).first().line == 2
+    assert {(r.path, r.code) for r in quality.stale(d, "2024-12-31").collect()} == {("wiki/a.md", "missing-volatility"), ("wiki/x/b.md", "missing-volatility")}
+    old = spark.createDataFrame([("wiki/o.md", "---\nvolatility: hot\nupdated: 2024-01-01\ncategory: idea\n---\n[[a/b]] [[$x$]] [[fine]]")], "path string, raw_text string")
+    assert [(r.code, r.detail) for r in quality.stale(old, "2024-12-31").collect()] == [("stale-article", "365")]
+    assert [r.detail for r in quality.bad_enums(old).collect()] == ["category=idea"]
+    assert {r.detail for r in quality.bad_wikilinks(old).collect()} == {"illegal character: a/b", "TeX: $x$"}
+    assert [(r.line, r.kind) for r in quality.placeholders(spark.createDataFrame([("a", "x\n* **Name**:\n[STUB: Awaiting synthesis]")], "path string, raw_text string")).collect()] == [(2, "empty_bullet"), (3, "stub_tag")]
 
 
 def test_formulas(spark):

@@ -67,6 +67,6 @@ def test_cards_from_files(spark, tmp_path):
     docs = corpus.markdown(spark, str(tmp_path))
     assert sorted(r.path for r in docs.collect()) == ["raw/s.md", "wiki/concepts/a.md"]
     c = corpus.cards(docs.where("path like 'wiki%'")).first()
-    assert (c.title, c.type, c.category, c.tags, c.aliases, c.links) == ("A", "concept", "concepts", ["x"], ["AA"], ["B"])
+    assert (c.title, c.type, c.category, c.tags, c.aliases, c.links) == ("A", "concept", "concept", ["x"], ["AA"], ["B"])
     x = corpus.claims(docs).first()
     assert (x.text, x.status, x.source, x.quote) == ("c1", "verified", "raw/s.md", "e\nf") and x.id.startswith("claim:") and len(x.id) == 18

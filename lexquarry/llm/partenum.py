@@ -229,7 +229,7 @@ def joined(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFra
     tried = shared.cut(first)
     edges = _linked(docs, brief, tried, n, percent)
     for k in range(ROUNDS + 1):
-        pairs = shared.cut(_across(near, brief, components(edges), percent, k < ROUNDS).join(tried, ["a", "b"], "left_anti"))
+        pairs = shared.cut(_across(near, brief, components(edges), tried, percent, k < ROUNDS))
         if pairs.isEmpty():
             break
         tried = tried.union(pairs)
@@ -242,10 +242,11 @@ def joined(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFra
     return base.select("row", "doc_id", "n_shingles").join(member.join(ids, "component").select("row", "component_id"), "row", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def _across(near: DataFrame, brief: DataFrame, part: DataFrame, percent: int, nearest: bool) -> DataFrame:
-    """Pairs (a, b) of nodes that share a signature, lie in different components and may be similar enough.
+def _across(near: DataFrame, brief: DataFrame, part: DataFrame, tried: DataFrame, percent: int, nearest: bool) -> DataFrame:
+    """Pairs (a, b) not yet tried of nodes that share a signature, lie in different components and may be similar enough.
 
-    nearest: for each node outside of a signature's largest component only the pair of the nearest sketch.
+    nearest: for each node outside of a signature's largest component only the pair of the nearest sketch. Pairs tried
+    go before that choice, so there are none only when the exhaustive round would have none either.
     """
     at = near.select("s", "node").join(part, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = at.groupBy("s").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("s")
@@ -254,6 +255,7 @@ def _across(near: DataFrame, brief: DataFrame, part: DataFrame, percent: int, ne
     few = at.join(main, "s").where("component <> main")
     pairs = few.alias("x").join(at.alias("y"), F.expr(f"x.s = y.s and x.component <> y.component and {_may('x', 'y', percent)}"))
     pairs = pairs.select(F.col("x.node").alias("x"), F.col("y.node").alias("y"), F.expr(_differ("x", "y")).alias("d"))
+    pairs = pairs.withColumns({"a": F.greatest("x", "y"), "b": F.least("x", "y")}).join(tried, ["a", "b"], "left_anti")
     if nearest:
         pairs = pairs.groupBy("x").agg(F.min_by("y", F.struct("d", "y")).alias("y"))
     return pairs.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()

@@ -188,6 +188,18 @@ def test_jaccard_join(spark):
     assert got == jaccard_components(texts)
 
 
+def test_jaccard_join_beyond_pairs_tried(spark, monkeypatch):
+    # one signature for all and sketches that tell nothing: each node's nearest is the one that was tried first
+    signed = partenum.signed
+    blind = {p: F.lit(0).cast("long") for p in partenum._PARITY} | {"signatures": F.array(F.lit(1).cast("long"))}
+    monkeypatch.setattr(partenum, "signed", lambda *a: signed(*a).withColumns(blind))
+    bases = [words(60, 300 + g) for g in range(7)]
+    texts = {2 * g + k: b + " end" * k for g, b in enumerate(bases) for k in (0, 1)}
+    for some in (texts, dict(list(texts.items())[1:4])):  # the second: a pair and one node more
+        got = {x.doc_id: (x.n_shingles, x.component_id) for x in partenum.joined(docs(spark, some)).collect()}
+        assert got == jaccard_components(some)
+
+
 @pytest.mark.parametrize(("sub", "tolerated"), [(2, 1), (3, 1), (4, 2), (1, 0)])
 def test_similar_sets_share_a_signature(sub, tolerated):
     r = np.random.default_rng(3)

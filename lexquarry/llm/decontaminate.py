@@ -134,7 +134,8 @@ def _extended(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if size:
                 out.append((row, item, pos, pos + size))
                 continue
-            a, b, c, d = a.split(), b.split(), c.split(), d.split()
+            # by the blank that joined them alone: words may hold or be other white space, such as U+00A0
+            a, b, c, d = (x.split(" ") if x else [] for x in (a, b, c, d))
             left = next((i for i, (x, y) in enumerate(zip(reversed(a), reversed(b), strict=False)) if x != y), min(len(a), len(b)))
             right = next((i for i, (x, y) in enumerate(zip(c, d, strict=False)) if x != y), min(len(c), len(d)))
             if left + K + right >= SPAN:

@@ -84,6 +84,18 @@ def test_decontamination(spark):
     assert [r.doc_id for r in decontaminate.clean(docs(spark, texts), items).collect()] == [2]
 
 
+def test_decontamination_by_the_contracts_words(spark):
+    # U+00A0, U+3000 and other white space beyond ASCII are word characters, alone and inside of words
+    odd = ["a", "b", "\u00a0", "c", "\u3000", "d\u00a0e", "f", "g\u3000h", "\u0085", "i\u2028"]
+    nine = ["p", "q", "r\u00a0s", "t", "u", "v", "w", "x", "y"]
+    items = spark.createDataFrame([(1, " ".join(odd)), (2, " ".join([*nine, "end"]))], "item_id long, text string")
+    rows = {1: ["z", *odd, "z"], 2: ["z", *nine, "z"], 3: [*odd[:9], "z"], 4: [*odd[1:], "z"]}
+    # every place of the passage, so that each word is left, inside and right of some fingerprint
+    rows |= {10 + k: [f"n{j}" for j in range(k)] + odd + [f"m{j}" for j in range(9 - k)] for k in range(10)}
+    got = {r.doc_id: (r.n_words, r.n_hit, r["items"]) for r in decontaminate.contamination(docs(spark, {i: " ".join(w) for i, w in rows.items()}), items).collect()}
+    assert got == {i: (len(w), 10, ["1"]) if i == 1 or i >= 10 else (len(w), 0, []) for i, w in rows.items()}
+
+
 @pytest.mark.parametrize("text", ["tél a.b+c@x-y.example.org, 10.0.0.255 300.1.1.1 1.2.3.4.5.6.7.8", "4111 1111-1111 1111 4111111111111112 +1 (243) 555-5526.", "@@a@b @ a@b.c@d.e 9" * 30, "1" * 9000, "+" * 500 + "1" + " " * 500])
 def test_pii_base(text):
     out = []

@@ -30,3 +30,13 @@ def test_stages_against_brute_force(spark, tmp_path):
     assert {x.doc_id: list(x.ids) for x in last} == {i: v.encode([t])[0].tolist() for i, t in want.items()}
     assert all(x.round_trip for x in last) and corpus_pipeline.ORACLE_SQL is None
     assert 50 not in want and 52 not in want and 53 not in want and 54 not in want and 55 not in want and len(want) > 35
+
+
+def test_near_copies_by_five_words(spark):
+    r = random.Random(5)
+    texts = {}
+    for i, n in enumerate((50, 40)):  # one word in the middle changed: 41 of 51 shingles of five words are shared, then 31 of 41
+        w = ["".join(r.choice("abcdefghik") for _ in range(8)) for _ in range(n)]
+        texts |= {2 * i: " ".join(w), 2 * i + 1: " ".join([*w[: n // 2], "other", *w[n // 2 + 1 :]])}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert sorted(x.doc_id for x in corpus_pipeline.ngram_jaccard(spark, docs, "").collect()) == [0, 2, 3]

@@ -1,5 +1,7 @@
 """Radar, ledger, quality, claims, chunking, streaming on small literal tables."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -123,6 +125,28 @@ def test_similarity(spark):
     assert {(r.kept, r.merged) for r in similarity.greedy_merges(p).collect()} == {("ab", "long"), ("ab", "xy")}
 
 
+def greedy(pairs):
+    out, gone = set(), set()
+    for a, b, score in sorted(pairs, key=lambda p: (-p[2], p[0], p[1])):
+        if a not in gone and b not in gone:
+            kept, merged = (a, b) if len(a) <= len(b) else (b, a)
+            gone.add(merged)
+            out.add((kept, merged, score))
+    return out
+
+
+def test_greedy_merges_decide_every_pair(spark):
+    r = random.Random(6)
+    schema = "a string, b string, score double"
+    equal = spark.createDataFrame([(f"n{i:03}", [1.0, 2.0]) for i in range(100)], "key string, embedding array<float>")
+    p = similarity.cosine_pairs(equal, 0.9, 3).select("a", "b", F.round("similarity", 6).alias("score"))
+    assert {tuple(x) for x in similarity.greedy_merges(p).collect()} == {("n000", f"n{i:03}", 1.0) for i in range(1, 100)}
+    names = [f"{i}" * r.randint(1, 3) for i in range(40)]
+    some = {tuple(r.sample(names, 2)): r.choice([0.5, 0.6, 0.7, 0.8]) for _ in range(300)}
+    some = [(a, b, s) for (a, b), s in some.items()] + [(f"c{i:02}", f"c{i + 1:02}", 1 - i / 100) for i in range(12)]
+    assert {tuple(x) for x in similarity.greedy_merges(spark.createDataFrame(some, schema)).collect()} == greedy(some)
+
+
 @pytest.mark.parametrize(("quote", "result"), [("plain words", "exact"), ("plain  words", "whitespace"), ("ﬁne hyphen-\nation “q”", "loose"), ("made up", "not-found"), ("", "malformed")])
 def test_claims(spark, quote, result):
     c = spark.createDataFrame([("c", quote, "local_wiki", "raw/s.md")], "claim string, evidence string, source_type string, source string")

@@ -12,10 +12,10 @@ repeat at all, which is found exactly:
    all windows of a block have in common, its core, get a name, and blocks of a core that occurs once are left out. A
    block is then a short string of symbols: the bytes to the left, the core's name, the bytes to the right; its
    windows are prefixes of that string's suffixes.
-4. These strings are sorted by the difference-cover method (cover {1, 2} modulo 3): triples of symbols at sampled
-   places are sorted and named in order; as a window has FEW symbols, one more than a triple, the names of one level
-   tell suffixes apart as far as needed and the recursion ends there. The remaining suffixes are merged by their first
-   symbol and the name after it, and neighbours that agree on the whole window form a group whose first place stays.
+4. Triples of symbols at places sampled by a difference cover ({1, 2} modulo 3) are named; as a window has FEW
+   symbols, one more than a triple, a name and a symbol tell windows apart. Windows equal in both form a group whose
+   first place stays. Grouping by equality replaces the method's merge of suffixes and comparison of neighbours, as only
+   equality is asked: the names' order isn't used, and there is no recursion.
 
 The texts are read once for each of anchors, runs, blocks and the result. Filters of fixed size keep what can't repeat
 from being sent; a false positive only adds rows to steps that compare exactly. Aggregations are partial before their

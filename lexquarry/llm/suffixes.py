@@ -1,6 +1,6 @@
 """Suffix-array dedup: every byte covered by a SPAN-byte string that also starts earlier is removed.
 
-Sorting all suffixes of a corpus moves each byte many times over, so the difference-cover sort works on what can
+Sorting all suffixes of a corpus moves each byte many times over, so the steps below work on what can
 repeat at all, which is found exactly:
 
 1. Each window of SPAN bytes has an anchor, the GRAM-byte string in it with the smallest hash (the rightmost of equal

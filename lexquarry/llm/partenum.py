@@ -1,19 +1,28 @@
 """N-gram Jaccard join by PartEnum signatures.
 
-A document's set holds the hashes of its distinct word shingles. Sets of Jaccard similarity g or more in a band of
-sizes up to u differ in at most k = floor(2 u (1 - g) / (1 + g)) elements. The domain of elements is split into
-floor(k / (tolerated + 1)) + 1 parts and each of those into `sub` smaller ones; every choice of sub - tolerated smaller
-ones of a part gives a signature, the hash of the elements in them. Two sets that differ in k elements at most agree
-on a signature: some part holds at most `tolerated` differences. Bands grow by BAND; a set whose partners may lie in
-the next band signs there as well.
-
-Documents of equal sets are one node. Nodes that share a signature are compared with the smallest such node first,
-and by exact Jaccard similarity always. Only for signatures whose nodes are then still in several components are
-further pairs looked at: each node outside the largest component of the signature with the nodes of other components
-there. A parity sketch of 1,024 bits, which bounds the number of differing elements from below, spares most of them
-the comparison. For some rounds each node is compared with the partner of the nearest sketch alone, as one link is
-mostly enough to join two components; a last round compares whatever pairs are left. Pairs within a component are
-never made, so large groups of near copies stay linear.
+A document's set holds the hashes of its distinct word shingles (64 bits each; equality of whole sets is decided by 128
+bits). Sets of Jaccard similarity g or more in a band of sizes up to u differ in at most k = floor(2 u (1 - g) / (1 + g))
+elements. The domain of elements is split into parts and each part into smaller ones; a signature is the hash of the
+elements in a chosen subset of the smaller parts, and `layout` deals them so that two sets that differ in k elements at
+most share a signature:
+
+* small k: floor(k / (tolerated + 1)) + 1 parts of `sub` smaller ones; some part holds `tolerated` differences at most,
+  so one choice of sub - tolerated of its smaller parts holds none;
+* larger k: k + 1 + spare parts, each a signature by itself. At least spare + 1 of them hold no difference.
+
+Spare signatures are given up where that saves most. Parts with the fewest elements are the least telling, so of
+`extra` parts more only the fullest are signed; and of the signatures that more than HOT sets share, each set gives up
+the `spare` most common ones. Both orders depend on nothing but the signature, so what two similar sets share last is
+given up by neither. Bands grow by BAND; a set whose partners may lie in a next band signs there as well.
+
+Documents of equal sets are one node. Of the nodes of a signature the one with the most shared signatures is its pivot,
+and each node is first compared with the pivot that it shares most signatures with: copies edited from one text meet
+that text. Only for signatures whose nodes are then still in several components are further pairs looked at: each node
+outside the signature's largest component with the nodes of other components there, first the nearest of each component
+by a parity sketch of 1,024 bits, which bounds the number of differing elements from below, then all that are left.
+Pairs are never made within a component, so large groups of near copies stay linear.
+
+Sketches and filters only spare work; the similarity of each pair that they leave is counted on the sets themselves.
 
 Cases: a null or wordless text has an empty set and is linked with nothing; fewer words than `n` make one shingle;
 equal ids are separate rows; a component's id is the smallest doc_id in it (null ids count as none).
@@ -22,7 +31,9 @@ equal ids are separate rows; a component's id is the smallest doc_id in it (null
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import combinations
+from math import ceil, comb
 
 import numpy as np
 import pyarrow as pa
@@ -35,10 +46,13 @@ from lexquarry.llm.bloom import Bloom
 from lexquarry.llm.components import components
 
 SHINGLE, PERCENT = 3, 90
-BAND = 1.5
-SUB, TOLERATED = 2, 1
-FILTER_BITS = 1 << 25
-ROUNDS = 3
+BAND = 1.25
+#: Up to FEW differences subsets are enumerated, with MOST signatures at most; beyond, the shares of k + 1 by which
+#: parts are added that aren't signed (EXTRA) and signatures that may be given up (SPARE).
+FEW, MOST = 24, 64
+EXTRA, SPARE = 0.25, 0.15
+HOT = 8
+FILTER_BITS = 1 << 26
 _PARITY = tuple(f"p{i}" for i in range(16))
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -52,6 +66,24 @@ def bands(upto: int = 1 << 40, growth: float = BAND) -> tuple[np.ndarray, np.nda
     return np.array(low), np.array(high)
 
 
+_LOW, _HIGH = bands()
+
+
+@lru_cache(maxsize=None)
+def layout(k: int) -> tuple[int, int, int, int, int]:
+    """(parts, sub, tolerated, extra, spare) for k differences: of all choices the one with the largest subsets."""
+    if k > FEW:
+        extra, spare = ceil(EXTRA * (k + 1)), ceil(SPARE * (k + 1))
+        return k + 1 + extra + spare, 1, 0, extra, spare
+    best = (0.0, 0, 0, 0)
+    for tolerated in range(k + 1):
+        parts = k // (tolerated + 1) + 1
+        for sub in range(tolerated + 1, tolerated + 9):
+            if parts * comb(sub, tolerated) <= MOST:
+                best = max(best, ((sub - tolerated) / (sub * parts), -parts, -sub, tolerated))
+    return -best[1], -best[2], best[3], 0, 0
+
+
 def shingles(part: tb.Slice, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """All rows' distinct shingle hashes, sorted within each row, and offsets of the rows in them."""
     data = np.frombuffer(tb.lowered(part.raw), np.uint8)
@@ -69,42 +101,50 @@ def shingles(part: tb.Slice, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([np.zeros(0, np.uint64), *sets]), np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int64)
 
 
-def signatures(elements: np.ndarray, offsets: np.ndarray, percent: int = PERCENT, sub: int = SUB, tolerated: int = TOLERATED) -> tuple[np.ndarray, np.ndarray]:
-    """All rows' signatures and offsets of the rows in them."""
-    low, high = bands()
+def _spread(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For consecutive groups of these sizes: each member's group, and its place in the group."""
+    group = np.repeat(np.arange(len(sizes)), sizes)
+    return group, np.arange(len(group)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+
+def signatures(elements: np.ndarray, offsets: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All rows' signatures, the number of those of the same band that the row may give up plus 2**24 for each band
+    after its own, and offsets of the rows in both."""
     size = np.diff(offsets)
-    row = np.repeat(np.arange(len(size)), size)
-    own = np.searchsorted(high, size)
-    choices = np.array([[j in c for j in range(sub)] for c in combinations(range(sub), sub - tolerated)])
-    place, value = tb.mix(elements ^ np.uint64(0x1234567)), tb.mix(elements + _GOLD)
-    out, of = [], []
-    for step in (0, 1):
-        # the next band only if a partner can be there: 100 * size >= percent * partner
-        rows = np.flatnonzero((size > 0) & ((100 * size >= percent * low[own + step]) if step else True))
-        band = own[rows] + step
-        k = 2 * high[band] * (100 - percent) // (100 + percent)
-        parts = np.zeros(len(size), np.int64)
-        parts[rows] = k // (tolerated + 1) + 1
-        cells = parts * sub
-        base = np.concatenate(([0], np.cumsum(cells)))
-        live = cells[row] > 0
-        r = row[live]
-        at = base[r] + ((place[live] >> np.uint64(32)) * cells[r].astype(np.uint64) >> np.uint64(32)).astype(np.int64)
-        total = np.zeros(base[-1], np.uint64)
-        np.add.at(total, at, value[live])
-        total = tb.mix(total + np.uint64(1)).reshape(-1, sub)
-        cell_row = np.repeat(np.arange(len(size)), parts)
-        index = np.arange(len(cell_row)) - np.repeat(np.concatenate(([0], np.cumsum(parts)[:-1])), parts)
-        tag = tb.mix((own[cell_row] + step).astype(np.uint64) << np.uint64(40) | index.astype(np.uint64))
-        for c, chosen in enumerate(choices):
-            h = tag + np.uint64(c)
-            for j in np.flatnonzero(chosen):
-                h = tb.mix(h ^ total[:, j])
-            out.append(h)
-            of.append(cell_row)
-    out, of = np.concatenate(out), np.concatenate(of)
+    own = np.searchsorted(_HIGH, size)
+    # a row's elements are sorted hashes, so those of a part of the domain are neighbours and their sum is a difference
+    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(tb.mix(elements + _GOLD), dtype=np.uint64)))
+    high = elements >> np.uint64(32)
+    out, tags, of, step = [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], 0
+    while True:
+        # a next band only if a partner can be there: 100 * size >= percent * partner
+        reached = np.flatnonzero((size > 0) & ((100 * size >= percent * _LOW[own + step]) if step else True))
+        if not len(reached):
+            break
+        for b in np.unique(own[reached]):
+            rows = reached[own[reached] == b]
+            parts, sub, tolerated, extra, spare = layout(int(2 * _HIGH[b + step] * (100 - percent) // (100 + percent)))
+            cells = parts * sub
+            r, at = _spread(size[rows])
+            cell = r * cells + ((high[offsets[rows][r] + at] * np.uint64(cells)) >> np.uint64(32)).astype(np.int64)
+            many = np.bincount(cell, minlength=len(rows) * cells).reshape(len(rows), cells)
+            end = offsets[rows][:, None] + np.cumsum(many, axis=1)
+            place = np.arange(cells, dtype=np.uint64) + np.uint64(int(b + step) << 40)
+            sums = tb.mix((total[end] - total[end - many]) ^ tb.mix(place)).reshape(len(rows), parts, sub)
+            if sub > 1:  # a signature for each choice of smaller parts: the sum of what they hold
+                chosen = np.array([[j in c for c in combinations(range(sub), sub - tolerated)] for j in range(sub)], np.uint64)
+                sums = tb.mix(np.matmul(sums, chosen))
+            h = sums.reshape(len(rows), -1)
+            if extra:  # the fullest parts, equal ones by hash
+                order = (np.minimum(many, 255).astype(np.uint64) << np.uint64(56)) | (h >> np.uint64(8))
+                h = np.take_along_axis(h, np.argpartition(order, extra, axis=1)[:, extra:], axis=1)
+            out.append(h.ravel())
+            of.append(np.repeat(rows, h.shape[1]))
+            tags.append(np.full(h.size, spare + (step << 24), np.int32))
+        step += 1
+    out, tags, of = np.concatenate(out), np.concatenate(tags), np.concatenate(of)
     order = np.argsort(of, kind="stable")
-    return out[order], np.concatenate(([0], np.cumsum(np.bincount(of, minlength=len(size)))))
+    return out[order], tags[order], np.concatenate(([0], np.cumsum(np.bincount(of, minlength=len(size)))))
 
 
 def _sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -130,69 +170,70 @@ def _long(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
 
-def keys(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
-    """(doc_id, n_shingles, k0, k1) for each row of docs(doc_id, text)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in tb.slices(batches, "text"):
-            e, offsets = shingles(part, n)
-            yield pa.RecordBatch.from_arrays([part.rows.column(0), pa.array(np.diff(offsets)), *map(_long, _keys(e, offsets))], ["doc_id", "n_shingles", "k0", "k1"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long, k0 long, k1 long")
+def _list(values: pa.Array, offsets: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
 
 
-def signed(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """(n_shingles, k0, k1, p0..p15, signatures) of the sets that aren't empty."""
+def _common(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """(s): the signatures that occur in more than one row. Nothing but the signature is shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in tb.slices(batches, "text"):
-            e, offsets = shingles(part, n)
-            s, s_off = signatures(e, offsets, percent)
-            size = np.diff(offsets)
-            out = pa.RecordBatch.from_arrays([pa.array(size), *map(_long, _keys(e, offsets)), *map(_long, _parity(e, offsets)), pa.ListArray.from_arrays(pa.array(s_off, pa.int32()), _long(s))], ["n_shingles", "k0", "k1", *_PARITY, "signatures"])
-            yield out.filter(pa.array(size > 0))
-
-    return docs.select("text").mapInArrow(run, "n_shingles long, k0 long, k1 long, " + "".join(f"{p} long, " for p in _PARITY) + "signatures array<long>")
+            yield pa.RecordBatch.from_arrays([_long(signatures(*shingles(part, n), percent)[0])], ["s"])
 
+    return docs.select("text").mapInArrow(run, "s long").groupBy("s").agg(F.count("*").alias("many")).where("many > 1").select("s")
 
-def _shared_signatures(heads: DataFrame) -> DataFrame:
-    """(s, node, pivot) of the signatures that several nodes have; pivot is the smallest of them.
 
-    A filter of fixed size keeps most other signatures from the second shuffle; the join is exact.
-    """
-    all_ = heads.select("node", F.explode("signatures").alias("s"))
-    often = shared.cut(all_.groupBy("s").agg(F.count("*").alias("many"), F.min("node").alias("pivot")).where("many > 1").select("s", "pivot"))
-    sent = heads.sparkSession.sparkContext.broadcast(Bloom(often, "s", FILTER_BITS))
+def _marked(docs: DataFrame, common: Bloom, n: int, percent: int) -> tuple[DataFrame, object]:
+    """(doc_id, n_shingles, k0, k1, p0..p15, signatures, tags) for each row, with the signatures that may be in the
+    filter; no sketch where there are none. And the broadcast, to be destroyed once the rows are written."""
+    sent = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            lists = b.column(1)
-            s = lists.flatten().to_numpy()
-            node = np.repeat(b.column(0).to_numpy(), lists.value_lengths().to_numpy())
-            keep = sent.value.has(s.view(np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array(node[keep]), pa.array(s[keep])], ["node", "s"])
-
-    return heads.select("node", "signatures").mapInArrow(run, "node long, s long").join(often, "s")
-
-
-def _elements(docs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
-    """(node, elements) of the given nodes(node, k0, k1): the texts are read again, and a filter of fixed size keeps
-    the sets of other documents from being sent."""
-    wanted = docs.sparkSession.sparkContext.broadcast(Bloom(nodes, "k0", FILTER_BITS))
+        for part in tb.slices(batches, "text"):
+            e, offsets = shingles(part, n)
+            s, tags, at = signatures(e, offsets, percent)
+            keep = sent.value.has(s)
+            kept = np.concatenate(([0], np.cumsum(keep)))[at]
+            none = np.diff(kept) == 0
+            parity = [pa.array(p, mask=none) for p in _parity(e, offsets)]
+            yield pa.RecordBatch.from_arrays([part.rows.column(0), pa.array(np.diff(offsets)), *map(_long, _keys(e, offsets)), *parity, _list(_long(s[keep]), kept), _list(pa.array(tags[keep]), kept)], ["doc_id", "n_shingles", "k0", "k1", *_PARITY, "signatures", "tags"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, k0 long, k1 long, " + "".join(f"{p} long, " for p in _PARITY) + "signatures array<long>, tags array<int>"), sent
+
+
+def _near(heads: DataFrame) -> DataFrame:
+    """(s, node, pivot) of the signatures that several nodes have, less those that are given up."""
+    rows = heads.select("node", F.explode(F.arrays_zip("signatures", "tags")).alias("x")).select("node", F.col("x.signatures").alias("s"), F.col("x.tags").alias("tag"))
+    many = rows.groupBy("s").agg(F.count("*").alias("many")).where("many > 1")
+    # lists of one node's signatures: bounded by its text
+    listed = rows.join(many, "s").groupBy("node", "tag").agg(F.sum("many").alias("weight"), F.collect_list(F.struct("many", "s")).alias("l"))
+    hot = f"slice(sort_array(filter(l, x -> x.many > {HOT}), false), (tag & 16777215) + 1, greatest(size(l), 1))"
+    kept = listed.select("node", "weight", F.explode(F.expr(f"concat(filter(l, x -> x.many <= {HOT}), {hot})")).alias("x")).select("node", "weight", F.col("x.s").alias("s"))
+    kept = shared.cut(kept)
+    pivots = kept.groupBy("s").agg(F.count("*").alias("many"), F.max_by("node", F.struct("weight", "node")).alias("pivot")).where("many > 1").select("s", "pivot")
+    out = shared.cut(kept.join(pivots, "s").select("s", "node", "pivot"))
+    shared.drop(kept)
+    return out
+
+
+def _texts(docs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
+    """(node, text): a text of each of the given nodes(node, k0, k1). All texts are read again; a filter of fixed size
+    keeps those of other nodes from being sent."""
+    sent = docs.sparkSession.sparkContext.broadcast(Bloom(nodes, "k0", FILTER_BITS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in tb.slices(batches, "text"):
-            e, offsets = shingles(part, n)
-            k0, k1 = _keys(e, offsets)
-            # copies of a set in one slice go once
-            _, once = np.unique(k0, return_index=True)
-            keep = np.zeros(len(k0), bool)
-            keep[once] = wanted.value.has(k0[once])
-            all_ = pa.RecordBatch.from_arrays([_long(k0), _long(k1), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), _long(e))], ["k0", "k1", "elements"])
-            yield all_.filter(pa.array(keep))
+            k0, k1 = _keys(*shingles(part, n))
+            _, once = np.unique(k0, return_index=True)  # copies of a set in one slice go once
+            once = np.sort(once)[sent.value.has(k0[np.sort(once)])]
+            yield pa.RecordBatch.from_arrays([_long(k0[once]), _long(k1[once]), pa.array([part.text(i) for i in once], pa.binary()).cast(pa.string())], ["k0", "k1", "text"])
 
-    found = docs.select("text").mapInArrow(run, "k0 long, k1 long, elements array<long>")
-    return found.join(nodes, ["k0", "k1"]).groupBy("node").agg(F.first("elements").alias("elements"))
+    found = docs.select("text").mapInArrow(run, "k0 long, k1 long, text string").groupBy("k0", "k1").agg(F.first("text").alias("text"))
+    out = shared.cut(nodes.join(found, ["k0", "k1"]).select("node", "text"))
+    sent.destroy()
+    return out
 
 
 def _differ(x: str, y: str) -> str:
@@ -205,57 +246,80 @@ def _may(x: str, y: str, percent: int) -> str:
     return f"100L * least({x}.n_shingles, {y}.n_shingles) >= {percent}L * greatest({x}.n_shingles, {y}.n_shingles) and {100 + percent}L * {_differ(x, y)} <= {100 - percent}L * ({x}.n_shingles + {y}.n_shingles)"
 
 
-def _linked(docs: DataFrame, heads: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
-    """Those of pairs(a, b) of the similarity asked for."""
-    nodes = heads.select("node", "k0", "k1").join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node")
-    elements = _elements(docs, shared.cut(nodes), n)
-    a = elements.select(F.col("node").alias("a"), F.col("elements").alias("ea"))
-    b = elements.select(F.col("node").alias("b"), F.col("elements").alias("eb"))
-    both = pairs.join(a, "a").join(b, "b").select("a", "b", F.size("ea").alias("na"), F.size("eb").alias("nb"), F.size(F.array_intersect("ea", "eb")).alias("same"))
-    return shared.checkpointed(both.where(f"100L * same >= {percent}L * (na + nb - same)").select("a", "b"))
+def _sets(texts: pa.Array, n: int) -> Iterator[np.ndarray]:
+    for part in tb.slices(iter([pa.RecordBatch.from_arrays([texts], ["text"])]), "text"):
+        e, offsets = shingles(part, n)
+        yield from np.split(e, offsets[1:-1])
+
+
+def _linked(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """Those of pairs(a, b) of the similarity asked for, counted on the sets of their texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, b.num_rows, 256):  # so many sets in memory at once
+                part = b.slice(i, 256)
+                second = part.column(3).dictionary_encode()
+                theirs = list(_sets(second.dictionary, n))
+                keep = []
+                for x, j in zip(_sets(part.column(2), n), second.indices.to_pylist(), strict=True):
+                    y = theirs[j]
+                    same = int(np.isin(x, y, assume_unique=True).sum()) if 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)) else 0
+                    keep.append(100 * same >= percent * (len(x) + len(y) - same))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
+    return shared.cut(both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long"))
+
+
+def _across(near: DataFrame, brief: DataFrame, part: DataFrame, percent: int) -> DataFrame:
+    """(a, b, x, component, d): the pairs of nodes that share a signature, lie in different components and may be
+    similar enough; x is one of a and b, and component that of the other. d: the difference of their sketches."""
+    at = near.select("s", "node").join(part, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    parts = at.groupBy("s", "component").agg(F.count("*").alias("many"))
+    mixed = parts.groupBy("s").agg(F.count("*").alias("parts"), F.max_by("component", F.struct("many", "component")).alias("main")).where("parts > 1").select("s", "main")
+    at = at.join(mixed, "s").join(brief, "node")
+    few = at.where("component <> main")
+    pairs = few.alias("x").join(at.alias("y"), F.expr(f"x.s = y.s and x.component <> y.component and {_may('x', 'y', percent)}"))
+    return pairs.selectExpr("greatest(x.node, y.node) as a", "least(x.node, y.node) as b", "x.node as x", "y.component as component", f"{_differ('x', 'y')} as d").distinct()
 
 
 def joined(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of docs(doc_id, text)."""
-    heads = signed(docs, n, percent).groupBy("k0", "k1").agg(*(F.first(c).alias(c) for c in ("n_shingles", *_PARITY, "signatures")))
+    common = shared.cut(_common(docs, n, percent))
+    marked, sent = _marked(docs, Bloom(common, "s", FILTER_BITS), n, percent)
+    marked = shared.cut(marked.withColumn("row", F.monotonically_increasing_id()))
+    sent.destroy()
+    shared.drop(common)
+    heads = marked.where("size(signatures) > 0").groupBy("k0", "k1").agg(*(F.first(c).alias(c) for c in ("n_shingles", *_PARITY, "signatures", "tags")))
     heads = shared.cut(heads.withColumn("node", F.monotonically_increasing_id()))
-    brief = heads.drop("signatures")
-    near = shared.cut(_shared_signatures(heads))
+    near = _near(heads)
+    brief = heads.select("node", "n_shingles", *_PARITY)
+    texts = _texts(docs, near.select("node").distinct().join(heads.select("node", "k0", "k1"), "node"), n)
 
     votes = near.where("node <> pivot").groupBy("node", "pivot").agg(F.count("*").alias("many"))
-    x, y = brief.alias("x"), brief.alias("y")
-    votes = votes.alias("v").join(x, F.expr("v.node = x.node")).join(y, F.expr("v.pivot = y.node")).where(_may("x", "y", percent)).select("v.*")
-    first = votes.groupBy("node").agg(F.max_by("pivot", F.struct("many", -F.col("pivot"))).alias("b")).select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")).distinct()
+    votes = votes.alias("v").join(brief.alias("x"), F.expr("v.node = x.node")).join(brief.alias("y"), F.expr("v.pivot = y.node")).where(_may("x", "y", percent)).select("v.*")
+    first = votes.groupBy("node").agg(F.max_by("pivot", F.struct("many", "pivot")).alias("b")).select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")).distinct()
     tried = shared.cut(first)
-    edges = _linked(docs, brief, tried, n, percent)
-    for k in range(ROUNDS + 1):
-        pairs = shared.cut(_across(near, brief, components(edges), tried, percent, k < ROUNDS))
+    edges = _linked(tried, texts, n, percent)
+    part = shared.cut(components(edges))
+    pairs = shared.cut(_across(near, brief, part, percent).join(tried, ["a", "b"], "left_anti"))
+    # of each other component the nearest, then whatever is still apart; components only grow, so no new pair comes up
+    for nearest in (True, False):
         if pairs.isEmpty():
             break
-        tried = tried.union(pairs)
-        edges = edges.union(_linked(docs, brief, pairs, n, percent))
-    part = shared.cut(components(edges))
-
-    base = shared.cut(keys(docs, n).withColumn("row", F.monotonically_increasing_id()))
-    member = base.select("row", "doc_id", "k0", "k1").join(brief.select("k0", "k1", "node"), ["k0", "k1"]).join(part, "node", "left").select("row", "doc_id", F.coalesce("component", "node").alias("component"))
+        some = pairs.groupBy("x", "component").agg(F.min_by(F.struct("a", "b"), F.struct("d", "a", "b")).alias("p")).select("p.*") if nearest else pairs.select("a", "b")
+        some = shared.cut(some.distinct())
+        found = _linked(some, texts, n, percent)
+        if not found.isEmpty():
+            edges = edges.union(found)
+            part = shared.cut(components(edges))
+        if nearest:
+            ends = [part.select(F.col("node").alias(c), F.col("component").alias(f"c{c}")) for c in ("a", "b")]
+            pairs = shared.cut(pairs.join(some, ["a", "b"], "left_anti").join(ends[0], "a", "left").join(ends[1], "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b"))
+
+    member = marked.select("row", "doc_id", "k0", "k1").join(heads.select("k0", "k1", "node"), ["k0", "k1"]).join(part, "node", "left").select("row", "doc_id", F.coalesce("component", "node").alias("component"))
     ids = member.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    return base.select("row", "doc_id", "n_shingles").join(member.join(ids, "component").select("row", "component_id"), "row", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-
-
-def _across(near: DataFrame, brief: DataFrame, part: DataFrame, tried: DataFrame, percent: int, nearest: bool) -> DataFrame:
-    """Pairs (a, b) not yet tried of nodes that share a signature, lie in different components and may be similar enough.
-
-    nearest: for each node outside of a signature's largest component only the pair of the nearest sketch. Pairs tried
-    go before that choice, so there are none only when the exhaustive round would have none either.
-    """
-    at = near.select("s", "node").join(part, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = at.groupBy("s").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("s")
-    at = shared.cut(at.join(mixed, "s").join(brief.select("node", "n_shingles", *_PARITY), "node"))
-    main = at.groupBy("s", "component").agg(F.count("*").alias("many")).groupBy("s").agg(F.max_by("component", F.struct("many", "component")).alias("main"))
-    few = at.join(main, "s").where("component <> main")
-    pairs = few.alias("x").join(at.alias("y"), F.expr(f"x.s = y.s and x.component <> y.component and {_may('x', 'y', percent)}"))
-    pairs = pairs.select(F.col("x.node").alias("x"), F.col("y.node").alias("y"), F.expr(_differ("x", "y")).alias("d"))
-    pairs = pairs.withColumns({"a": F.greatest("x", "y"), "b": F.least("x", "y")}).join(tried, ["a", "b"], "left_anti")
-    if nearest:
-        pairs = pairs.groupBy("x").agg(F.min_by("y", F.struct("d", "y")).alias("y"))
-    return pairs.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
+    groups = shared.cut(member.join(ids, "component").select("row", "component_id"))
+    shared.drop(near, texts, heads)
+    return marked.select("row", "doc_id", "n_shingles").join(groups, "row", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))

@@ -202,9 +202,9 @@ def test_jaccard_join(spark):
 
 def test_jaccard_join_beyond_pairs_tried(spark, monkeypatch):
     # one signature for all and sketches that tell nothing: each node's nearest is the one that was tried first
-    signed = partenum.signed
-    blind = {p: F.lit(0).cast("long") for p in partenum._PARITY} | {"signatures": F.array(F.lit(1).cast("long"))}
-    monkeypatch.setattr(partenum, "signed", lambda *a: signed(*a).withColumns(blind))
+    marked = partenum._marked
+    blind = {p: F.lit(0).cast("long") for p in partenum._PARITY} | {"signatures": F.array(F.lit(1).cast("long")), "tags": F.array(F.lit(0))}
+    monkeypatch.setattr(partenum, "_marked", lambda *a: (marked(*a)[0].withColumns(blind), marked(*a)[1]))
     bases = [words(60, 300 + g) for g in range(7)]
     texts = {2 * g + k: b + " end" * k for g, b in enumerate(bases) for k in (0, 1)}
     for some in (texts, dict(list(texts.items())[1:4])):  # the second: a pair and one node more
@@ -212,17 +212,36 @@ def test_jaccard_join_beyond_pairs_tried(spark, monkeypatch):
         assert got == jaccard_components(some)
 
 
-@pytest.mark.parametrize(("sub", "tolerated"), [(2, 1), (3, 1), (4, 2), (1, 0)])
-def test_similar_sets_share_a_signature(sub, tolerated):
+def test_jaccard_join_with_hot_signatures(spark, monkeypatch):
+    # every shared signature is hot, and passages that many texts hold fill most of them
+    monkeypatch.setattr(partenum, "HOT", 1)
+    passages, texts = [words(70, 400 + g) for g in range(3)], {}
+    for i in range(60):
+        own = words(15 + i // 3, 500 + i // 3)
+        texts[i] = " ".join((passages[i // 3 % 3], own, passages[(i // 3 + 1) % 3], "w" + str(i)))
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in partenum.joined(docs(spark, texts)).collect()}
+    assert got == jaccard_components(texts) and len({c for _, c in got.values()}) < 60
+
+
+@pytest.mark.parametrize(("few", "extra", "spare"), [(24, 0.25, 0.15), (0, 0.25, 0.15), (0, 0.01, 0.5), (1 << 20, 0.25, 0.15)])
+def test_similar_sets_share_a_signature(few, extra, spare, monkeypatch):
+    monkeypatch.setattr(partenum, "FEW", few if few < 1 << 20 else 60), monkeypatch.setattr(partenum, "EXTRA", extra), monkeypatch.setattr(partenum, "SPARE", spare)
+    if few == 1 << 20:
+        monkeypatch.setattr(partenum, "MOST", 200)
+    partenum.layout.cache_clear()
     r = np.random.default_rng(3)
-    for n in (1, 5, 9, 10, 11, 40, 333):
-        a = np.sort(r.integers(0, 1 << 62, n).astype(np.uint64))
-        for _ in range(20):
-            gone = r.choice(n, r.integers(0, n // 19 + 1), replace=False)
-            b = np.sort(np.concatenate((np.delete(a, gone), r.integers(0, 1 << 62, len(gone)).astype(np.uint64))))
-            if 100 * len(np.intersect1d(a, b)) >= 90 * len(np.union1d(a, b)):
-                s, at = partenum.signatures(np.concatenate((a, b)), np.array([0, len(a), len(a) + len(b)]), 90, sub, tolerated)
-                assert set(s[at[0] : at[1]]) & set(s[at[1] : at[2]])
+    for percent in (90, 80):
+        for n in (1, 5, 9, 10, 11, 40, 333):
+            a = np.sort(r.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2))
+            for _ in range(20):
+                gone = r.choice(n, r.integers(0, n * (100 - percent) // (100 + percent) + 1), replace=False)
+                b = np.sort(np.concatenate((np.delete(a, gone), r.integers(0, 1 << 63, len(gone)).astype(np.uint64))))
+                if 100 * len(np.intersect1d(a, b)) >= percent * len(np.union1d(a, b)):
+                    s, tags, at = partenum.signatures(np.concatenate((a, b)), np.array([0, len(a), len(a) + len(b)]), percent)
+                    both = set(s[at[0] : at[1]]) & set(s[at[1] : at[2]])
+                    level = {x: t & 0xFFFFFF for x, t in zip(s.tolist(), tags.tolist(), strict=True)}
+                    assert len(both) > max((level[int(x)] for x in both), default=0)  # one more than may be given up
+    partenum.layout.cache_clear()
 
 
 def test_components(spark):

@@ -25,7 +25,7 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = linededup.deduped(_table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", "n_lines", "n_chunks", "n_removed_lines", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+    return out.select("doc_id", "n_lines", "n_removed_lines", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,7 +56,9 @@ def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = warc.records(warc.written(_table(spark, sf_dir, "pages")), payloads=False)
-    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "verified")
+    # an archive that can't be read to its end must not pass for a short one
+    broken = F.raise_error(F.concat_ws(": ", "archive", "error")).cast("boolean")
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", F.when(F.col("error").isNotNull(), broken).otherwise(F.col("verified")).alias("verified"))
 
 
 OP1_SQL = r"""
@@ -82,14 +84,17 @@ FROM p
 
 OP3_SQL = """
 WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
-h AS (SELECT doc_id, l, list_transform(l, lambda x: CAST('0x' || substr(md5(x), 1, 8) AS BIGINT)) AS h FROM d),
-b AS (SELECT doc_id, l, list_filter(range(1, len(l) + 1), lambda i: i = len(l) OR (i >= 3 AND (h[i] + 31 * h[i - 1] + 961 * h[i - 2]) % 4 = 0)) AS b FROM h),
-c AS (SELECT doc_id, l, b, k, CASE WHEN k = 1 THEN 1 ELSE b[k - 1] + 1 END AS s, b[k] AS e FROM (SELECT doc_id, l, b, unnest(range(1, len(b) + 1)) AS k FROM b)),
-t AS (SELECT doc_id, k, s, e, array_to_string(l[s:e], chr(10)) AS t FROM c),
-f AS (SELECT *, e > s AND length(t) >= e - s + 1 AND row_number() OVER (PARTITION BY t, e > s ORDER BY doc_id, s) > 1 AS gone FROM t)
-SELECT doc_id, sum(e - s + 1)::BIGINT AS n_lines, count(*) AS n_chunks, coalesce(sum(e - s + 1) FILTER (WHERE gone), 0)::BIGINT AS n_removed_lines,
-  sha256(coalesce(string_agg(t, chr(10) ORDER BY k) FILTER (WHERE NOT gone), '')) AS kept_sha256
-FROM f GROUP BY doc_id
+h AS (SELECT doc_id, l, len(l) AS n, list_transform(l, lambda x: CAST('0x' || substr(md5(x), 1, 8) AS BIGINT)) AS h FROM d),
+b AS (SELECT doc_id, l, n, list_filter(range(1, n + 1), lambda i: i = n OR (i > 1 AND (h[i] + 31 * h[i - 1]) % 64 < 32)) AS b FROM h),
+i AS (SELECT doc_id, l, n, b, unnest(range(1, n + 1)) AS i FROM b),
+c AS (SELECT doc_id, l, i AS s, least(i + 15, n, coalesce(list_min(list_filter(b, lambda j: j > i)), n)) AS e FROM i
+  UNION SELECT doc_id, l, greatest(i - 15, 1, 1 + coalesce(list_max(list_filter(b, lambda j: j < i)), 0)) AS s, i AS e FROM i),
+t AS (SELECT doc_id, s, e, array_to_string(l[s:e], chr(10)) AS t FROM c WHERE e > s),
+f AS (SELECT doc_id, s, e, row_number() OVER (PARTITION BY t ORDER BY doc_id, s) > 1 AS gone FROM t WHERE length(t) >= e - s + 1),
+g AS (SELECT DISTINCT doc_id, unnest(range(s, e + 1)) AS i FROM f WHERE gone),
+k AS (SELECT i.doc_id, i.i, i.l[i.i] AS line, g.i IS NOT NULL AS gone FROM i LEFT JOIN g ON g.doc_id = i.doc_id AND g.i = i.i)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_removed_lines, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM k GROUP BY doc_id
 """
 _WORDS_5 = r"regexp_extract_all(translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 OP5_SQL = f"""

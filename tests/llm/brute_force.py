@@ -23,31 +23,26 @@ def quality(texts, _):
 
 
 def lines(texts, _):
-    seen, out = set(), {}
-    for i in sorted(texts):
-        rows = texts[i].split("\n")
-        h = [int(hashlib.md5(x.encode()).hexdigest()[:8], 16) for x in rows]
-        kept, start = [], 0
-        for k in range(len(rows)):
-            if k == len(rows) - 1 or k >= 2 and (h[k] + 31 * h[k - 1] + 961 * h[k - 2]) % 4 == 0:
-                chunk = rows[start : k + 1]
-                text = "\n".join(chunk)
-                if len(chunk) < 2 or text in seen:
-                    kept += [] if len(chunk) >= 2 else chunk
-                else:
-                    seen.add(text)
-                    kept += chunk
-                start = k + 1
-        if kept:
-            out[i] = "\n".join(kept)
-    return out
+    rows = {i: (t or "").split("\n") for i, t in texts.items()}
+    places = {}
+    for i, ls in rows.items():
+        h, n = [int(hashlib.md5(x.encode()).hexdigest()[:8], 16) for x in ls], len(ls)
+        ends = [k for k in range(1, n + 1) if k == n or k > 1 and (h[k - 1] + 31 * h[k - 2]) % 64 < 32]
+        for k in range(1, n + 1):
+            for s, e in ((k, min([k + 15, n] + [x for x in ends if x > k])), (max([k - 15, 1] + [x + 1 for x in ends if x < k]), k)):
+                chunk = "\n".join(ls[s - 1 : e])
+                if e > s and chunk.strip("\n"):
+                    places.setdefault(chunk, set()).add((i, s, e))
+    gone = {(i, k) for p in places.values() for i, s, e in sorted(p)[1:] for k in range(s, e + 1)}
+    out = {i: "\n".join(x for k, x in enumerate(ls, 1) if (i, k) not in gone) for i, ls in rows.items()}
+    return {i: t for i, t in out.items() if t}
 
 
 def near(texts, _):
     sets, root = {}, {i: i for i in texts}
     for i, t in texts.items():
         w = re.findall(r"[^\x20\x09-\x0D]+", t.lower())
-        sets[i] = {tuple(w[k : k + 3]) for k in range(len(w) - 2)} if len(w) >= 3 else {tuple(w)}
+        sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)}
 
     def find(i):
         while root[i] != i:
@@ -56,7 +51,7 @@ def near(texts, _):
 
     for i in sorted(texts):
         for j in sorted(texts):
-            if i < j and 100 * len(sets[i] & sets[j]) >= 90 * len(sets[i] | sets[j]):
+            if i < j and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
                 a, b = sorted((find(i), find(j)))
                 root[b] = a
     return {i: t for i, t in texts.items() if find(i) == i}

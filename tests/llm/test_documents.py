@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import brute_force
 from lexquarry.llm import bpe, components, decontaminate, licenses, linededup, partenum, pii, quality, secrets, spans, suffixes
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -144,17 +145,32 @@ def test_secret_models_on_held_out_samples():
 
 def test_line_dedup(spark):
     shared = "\n".join(words(9, i) for i in range(40))
-    texts = {5: words(9, 100) + "\n" + shared, 2: shared + "\n" + words(9, 101), 8: words(9, 102), 9: words(9, 102), 11: None}
+    texts = {5: words(9, 100) + "\n" + shared, 2: shared + "\n" + words(9, 101), 8: words(9, 102), 9: words(9, 102), 11: None, 12: "\n\n\n", 13: "\n\n\n", 14: "a\n" * 60, 15: shared}
     got = {r.doc_id: r for r in linededup.deduped(docs(spark, texts)).collect()}
     assert got[2].text == texts[2] and got[2].n_removed_lines == 0
-    assert got[5].n_removed_lines > 25 and got[5].n_lines == 41 and got[5].n_chars == len(got[5].text)
+    assert got[5].n_removed_lines >= 38 and got[5].n_lines == 41 and got[5].n_chars == len(got[5].text)
     kept = got[5].text.split("\n")
     assert kept == [x for x in texts[5].split("\n") if x in set(kept)]
     assert got[8].text == got[9].text == texts[8]  # single lines stay
-    assert got[11].text is None
+    assert got[11].text is None and got[12].text == got[13].text == "\n\n\n"
+    assert got[14].text == "a\n"
+    assert {i: r.text for i, r in got.items() if r.text} == brute_force.lines(texts, None)
     # inserting lines at the front moves no later boundary
-    chunks = lambda t: {r.chunk for r in linededup.occurrences(docs(spark, [t])).collect()}
-    assert len(chunks(shared) & chunks("new\n" + shared)) >= len(chunks(shared)) - 1
+    chunks = lambda t: {r.hash for r in linededup.occurrences(docs(spark, [t])).collect()}
+    assert all(chunks("\n".join(shared.split("\n")[3:])) - chunks(x + shared) <= chunks("\n".join(shared.split("\n")[3:7])) for x in ("new\n", "a\nb\nc\n"))
+
+
+def test_line_dedup_finds_short_passages(spark):
+    passages, texts, planted = [[words(20, 1000 * n + k) for k in range(n)] for n in (3, 4, 6) for _ in range(20)], {}, {}
+    for p, ls in enumerate(passages):
+        for c in range(3):
+            i = len(texts)
+            texts[i] = "\n".join([*(words(9, 100_000 + 10 * i + k) for k in range(3)), *(x + str(p) for x in ls), *(words(9, 900_000 + 10 * i + k) for k in range(3))])
+            planted[i] = len(ls) * (c > 0)
+    got = {r.doc_id: r for r in linededup.deduped(docs(spark, texts)).collect()}
+    assert {i: r.text for i, r in got.items()} == brute_force.lines(texts, None)
+    assert all(r.n_removed_lines <= planted[i] for i, r in got.items())
+    assert sum(r.n_removed_lines for r in got.values()) > 0.75 * sum(planted.values())
 
 
 def test_licenses(spark):

@@ -170,8 +170,9 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of docs that hold no window of any item, all their columns."""
-    named = docs.withColumn("__row", F.monotonically_increasing_id())
-    named = shared.cut(named)
-    rows, spans = hits(named.select(F.col("__row").alias("doc_id"), "text"), items)
-    bad = rows.join(spans.select("row").distinct(), "row", "left_semi").select(F.col("doc_id").alias("__row"))
-    return named.join(bad, "__row", "left_anti").drop("__row")
+    # the caller's columns travel in a struct, so that no name of theirs can clash
+    named = shared.cut(docs.select(F.struct(*(c for c in docs.columns if c != "text")).alias("rest"), "text").withColumn("id", F.monotonically_increasing_id()))
+    rows, spans = hits(named.select(F.col("id").alias("doc_id"), "text"), items)
+    bad = rows.join(spans.select("row").distinct(), "row", "left_semi").select(F.col("doc_id").alias("id"))
+    kept = named.join(bad, "id", "left_anti")
+    return kept.select(*("text" if c == "text" else F.col("rest")[c].alias(c) for c in docs.columns))

@@ -6,7 +6,7 @@ each scaled by its number of occurrences in the text. It is fitted on a bounded
 the weights have not seen, and scored in Arrow batches.
 
 Cases: a null or empty text has zero counts and fails the base rule. Several labels of one id count as one, the
-largest. Without labels of both kinds there is no model and the score is null; the base rule alone decides.
+largest, and of several texts of one id the smallest is learnt from. Without labels of both kinds there is no model and the score is null; the base rule alone decides.
 Rows with the same id are judged one by one.
 """
 
@@ -169,10 +169,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
     label = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     # the sample is bounded by sample_rows, so it may be broadcast
     sample = label.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(sample), "doc_id").limit(2 * sample_rows).toPandas()
-    rows = rows.sort_values(["doc_id", "text"]).drop_duplicates("doc_id")
-    rows = rows.iloc[np.argsort(rows["doc_id"].map(lambda x: (x * 0x9E3779B97F4A7C15) & (2**64 - 1)).to_numpy(), kind="stable")]
-    return train(rows["text"].tolist(), rows["quality"].to_numpy())
+    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(sample), "doc_id")
+    # one text an id, so sample_rows at most; in an order of their own, which deals them for the calibration
+    rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("quality").alias("quality")).select("text", "quality", F.xxhash64("doc_id").alias("place"))
+    rows = rows.toArrow().sort_by([("place", "ascending"), ("text", "ascending")])
+    return train(rows["text"].to_pylist(), rows["quality"].to_numpy())
 
 
 def judged(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) -> DataFrame:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
+from itertools import accumulate
 
 from lexquarry.llm.textbytes import code_points
 
@@ -12,9 +14,11 @@ Span = tuple[str, int, int]
 def apart(found: list[Span], base: list[Span]) -> list[Span]:
     """Those of found that overlap no span of base."""
     taken = sorted((s, e) for _, s, e in base)
+    starts, reach = [s for s, _ in taken], list(accumulate((e for _, e in taken), max))
     out = []
     for kind, s, e in found:
-        if not any(a < e and s < b for a, b in taken):
+        before = bisect_left(starts, e)  # those that start before the end; one of them reaches the start or none does
+        if not before or reach[before - 1] <= s:
             out.append((kind, s, e))
     return out
 

@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 SLICE_BYTES = 1 << 20
+EIGHT = 8
 _B = np.uint64(0x9E3779B97F4A7C15 | 1)
 _B_INV = np.uint64(pow(int(_B), -1, 1 << 64))
 _powers: dict[str, np.ndarray] = {}
@@ -95,7 +96,11 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span of bytes, from prefix sums of a polynomial, whatever the spans' lengths."""
+    """A 64-bit hash of each span of bytes, from prefix sums of a polynomial, whatever the spans' lengths.
+
+    The terms are mixed runs of EIGHT bytes: a polynomial modulo 2**64 over single bytes gives the two Thue-Morse strings
+    over any two letters one hash, whatever its base. Shorter spans, which that can't happen to, are hashed byte by byte.
+    """
     n = len(data)
     if len(_powers.get("up", ())) <= n:
         size = 1 << int(n + 1).bit_length()
@@ -103,11 +108,21 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
             p = np.full(size, base, np.uint64)
             p[0] = 1
             _powers[name] = np.multiply.accumulate(p)
-    total = np.zeros(n + 1, np.uint64)
-    # each byte goes through a table of random-looking 64-bit values: a plain polynomial over small digits has known collisions
-    np.cumsum(_BYTE[data] * _powers["up"][:n], out=total[1:])
-    h = (total[ends] - total[starts]) * _powers["down"][starts]
-    return mix(h ^ (ends - starts).astype(np.uint64))
+    up, size = _powers["up"], ends - starts
+    long = size >= EIGHT
+    h = np.zeros(len(starts), np.uint64)
+    for these, terms, cut in ((~long, lambda: _BYTE[data], 0), (long, lambda: mix(_runs_of_eight(data)), EIGHT - 1)):
+        if these.any():
+            x = terms()
+            total = np.zeros(len(x) + 1, np.uint64)
+            np.cumsum(x * up[: len(x)], out=total[1:])
+            h[these] = (total[ends[these] - cut] - total[starts[these]]) * _powers["down"][starts[these]]
+    return mix(h ^ size.astype(np.uint64))
+
+
+def _runs_of_eight(data: np.ndarray) -> np.ndarray:
+    """At each byte the number that it and the next ones make."""
+    return np.ndarray(len(data) - EIGHT + 1, np.dtype("<u8"), np.ascontiguousarray(data), 0, (1,)).copy()
 
 
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))

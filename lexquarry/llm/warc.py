@@ -69,7 +69,7 @@ def written(pages: DataFrame, folder: str | None = None, archive_bytes: int = AR
     target = f"{folder or shared.folder(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, top = fs.FileSystem.from_uri(target)
+        store, top = _store(target)
         store.create_dir(top, recursive=True)
         out, name, records, size = None, "", 0, 0
         done: list[tuple[str, int, int]] = []
@@ -93,6 +93,13 @@ def written(pages: DataFrame, folder: str | None = None, archive_bytes: int = AR
     return shared.checkpointed(assigned(pages).mapInArrow(run, "path string, records long, bytes long"))
 
 
+def _store(uri: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a folder as Hadoop names it, for Arrow."""
+    if uri.startswith("dbfs:/"):
+        uri = "/dbfs/" + uri.removeprefix("dbfs:").lstrip("/")
+    return fs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", uri))
+
+
 class Broken(ValueError):
     pass
 
@@ -187,7 +194,7 @@ def records(manifest: DataFrame, payloads: bool = True) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for path in b.column(0).to_pylist():
-                store, at = fs.FileSystem.from_uri(path)
+                store, at = _store(path)
                 with store.open_input_stream(at, compression=None) as stream:
                     found, size = [], 0
                     for row in rows(path, stream, payloads):

@@ -5,7 +5,7 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexquarry.llm import bpe, decontaminate, linededup, partenum, quality, shared
@@ -18,21 +18,33 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _packed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, rest): the other columns in a struct, so that none of theirs is taken for a stage's own."""
+    return docs.select("doc_id", "text", F.struct(*(c for c in docs.columns if c != "text")).alias("rest"))
+
+
+def _unpacked(rows: DataFrame, docs: DataFrame, **changed: Column) -> DataFrame:
+    """The columns of docs, from packed rows."""
+    return rows.select(*(changed.get(c, F.col("text") if c == "text" else F.col("rest")[c]).alias(c) for c in docs.columns))
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rule or the classifier go; the classifier is fitted on labelled rows of docs."""
     model = quality.fit(docs, _table(spark, sf_dir, "labels"))
-    return quality.judged(docs, model).where("kept").select(docs.columns)
+    return _unpacked(quality.judged(_packed(docs), model).where("kept"), docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated chunks of lines are cut from the texts; documents of which nothing is left go."""
-    return linededup.deduped(docs).where("length(text) > 0").select(docs.columns)
+    out = linededup.deduped(_packed(docs)).where("length(text) > 0")
+    new = {"n_chars": F.when(F.col("n_removed_lines") > 0, F.char_length("text")).otherwise(F.col("rest")["n_chars"]).cast("long")} if "n_chars" in docs.columns else {}
+    return _unpacked(out, docs, **new)
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: that of the smallest doc_id (rows that share an id stay or go together)."""
-    kept = partenum.joined(docs, n=SHINGLE, percent=PERCENT).where("doc_id <=> component_id").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    kept = partenum.joined(docs, n=SHINGLE, percent=PERCENT).where("doc_id <=> component_id").select(F.col("doc_id").alias("kept_id")).distinct()
+    return _unpacked(_packed(docs).join(kept, F.expr("doc_id <=> kept_id"), "left_semi"), docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -97,8 +97,8 @@ def item_prints(items: DataFrame) -> DataFrame:
     return items.select("item_id", "text").mapInArrow(run, f"item_id {kind}, {_PRINT}").drop("pos").distinct()
 
 
-def document_prints(docs: DataFrame, bloom: Bloom, sizes: list[int]) -> DataFrame:
-    """(doc_id, n_words, prints): the fingerprints that may be in the filter, for every row of docs."""
+def document_prints(docs: DataFrame, bloom: Bloom, sizes: list[int], carried: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, carried columns, n_words, prints): the fingerprints that may be in the filter, for every row of docs."""
     sent = docs.sparkSession.sparkContext.broadcast(bloom)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,11 +119,12 @@ def document_prints(docs: DataFrame, bloom: Bloom, sizes: list[int]) -> DataFram
                     p = _prints(raw, starts, ends, first[r], last[r], a, size, x)
                     found[r].append(p if winnow else p | {"size": size, "left": "", "right": ""})
             kind = pa.struct([("hash", pa.int64()), ("size", pa.int32()), ("pos", pa.int64()), ("left", pa.string()), ("gram", pa.string()), ("right", pa.string())])
-            yield pa.RecordBatch.from_arrays([part.rows.column(0), pa.array(last - first, pa.int64()), pa.array(found, pa.list_(kind))], ["doc_id", "n_words", "prints"])
+            kept = [part.rows.column(part.rows.schema.get_field_index(c)) for c in ("doc_id", *carried)]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(last - first, pa.int64()), pa.array(found, pa.list_(kind))], ["doc_id", *carried, "n_words", "prints"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    kind = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in ("doc_id", *carried))
     struct = _PRINT.replace(" long", ": long").replace(" int", ": int").replace(" string", ": string")
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_words long, prints array<struct<{struct}>>")
+    return docs.select(*dict.fromkeys(("doc_id", "text", *carried))).mapInArrow(run, f"{kind}, n_words long, prints array<struct<{struct}>>")
 
 
 def _extended(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -143,17 +144,18 @@ def _extended(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["row", "item_id", "start", "end"])
 
 
-def hits(docs: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Documents as (row, doc_id, n_words), and spans as (row, item_id, start, end) in words."""
+def hits(docs: DataFrame, items: DataFrame, carried: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """Documents as (row, doc_id, carried columns, n_words, likely), and spans as (row, item_id, start, end) in words.
+    Rows that aren't likely have none."""
     prints = shared.checkpointed(item_prints(items))
     sizes = sorted(r[0] for r in prints.where("size > 0").select("size").distinct().collect())
-    found = shared.cut(document_prints(docs, Bloom(prints, "hash", FILTER_BITS), sizes).withColumn("row", F.monotonically_increasing_id()))
+    found = shared.cut(document_prints(docs, Bloom(prints, "hash", FILTER_BITS), sizes, carried).withColumn("row", F.monotonically_increasing_id()))
     sides = found.where("size(prints) > 0").select("row", F.explode("prints").alias("p")).select("row", "p.*")
     # the order of spark's choice: only rows that passed the filter are shuffled here, and a hash that many documents
     # hold is split by the adaptive skew join
     theirs = prints.select("item_id", "hash", "size", "gram", F.col("left").alias("item_left"), F.col("right").alias("item_right"))
     spans = sides.join(theirs, ["hash", "size", "gram"]).select("row", "item_id", "size", "pos", "gram", "left", "item_left", "right", "item_right")
-    return found.select("row", "doc_id", "n_words"), spans.mapInPandas(_extended, f"row long, item_id {items.schema['item_id'].dataType.simpleString()}, start long, end long")
+    return found.select("row", "doc_id", *carried, "n_words", (F.size("prints") > 0).alias("likely")), spans.mapInPandas(_extended, f"row long, item_id {items.schema['item_id'].dataType.simpleString()}, start long, end long")
 
 
 def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -169,10 +171,10 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of docs that hold no window of any item, all their columns."""
+    """The rows of docs that hold no window of any item, all their columns. Only the texts with fingerprints that may be
+    an item's are shuffled."""
     # the caller's columns travel in a struct, so that no name of theirs can clash
-    named = shared.cut(docs.select(F.struct(*(c for c in docs.columns if c != "text")).alias("rest"), "text").withColumn("id", F.monotonically_increasing_id()))
-    rows, spans = hits(named.select(F.col("id").alias("doc_id"), "text"), items)
-    bad = rows.join(spans.select("row").distinct(), "row", "left_semi").select(F.col("doc_id").alias("id"))
-    kept = named.join(bad, "id", "left_anti")
+    packed = docs.select(F.lit(0).alias("doc_id"), "text", F.struct(*(c for c in docs.columns if c != "text")).alias("rest"))
+    rows, spans = hits(packed, items, ("text", "rest"))
+    kept = rows.where("not likely").union(rows.where("likely").join(spans.select("row").distinct(), "row", "left_anti"))
     return kept.select(*("text" if c == "text" else F.col("rest")[c].alias(c) for c in docs.columns))

@@ -18,7 +18,7 @@ given up by neither. Bands grow by BAND; a set whose partners may lie in a next
 Documents of equal sets are one node. Of the nodes of a signature the one with the most shared signatures is its pivot,
 and each node is first compared with the pivot that it shares most signatures with: copies edited from one text meet
 that text. Only for signatures whose nodes are then still in several components are further pairs looked at: each node
-outside the signature's largest component with the nodes of other components there, first the nearest of each component
+outside the signature's largest component with the nodes of other components there, for ROUNDS rounds only the nearest of each component
 by a parity sketch of 1,024 bits, which bounds the number of differing elements from below, then all that are left.
 Pairs are never made within a component, so large groups of near copies stay linear.
 
@@ -52,6 +52,7 @@ BAND = 1.25
 FEW, MOST = 24, 64
 EXTRA, SPARE = 0.25, 0.15
 HOT = 8
+ROUNDS = 1
 FILTER_BITS = 1 << 26
 _PARITY = tuple(f"p{i}" for i in range(16))
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -281,7 +282,7 @@ def _across(near: DataFrame, brief: DataFrame, part: DataFrame, percent: int) ->
     at = at.join(mixed, "s").join(brief, "node")
     few = at.where("component <> main")
     pairs = few.alias("x").join(at.alias("y"), F.expr(f"x.s = y.s and x.component <> y.component and {_may('x', 'y', percent)}"))
-    return pairs.selectExpr("greatest(x.node, y.node) as a", "least(x.node, y.node) as b", "x.node as x", "y.component as component", f"{_differ('x', 'y')} as d").distinct()
+    return pairs.selectExpr("greatest(x.node, y.node) as a", "least(x.node, y.node) as b", "x.node as x", "y.component as component", f"{_differ('x', 'y')} as d")
 
 
 def joined(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -291,6 +292,7 @@ def joined(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFra
     marked = shared.cut(marked.withColumn("row", F.monotonically_increasing_id()))
     sent.destroy()
     shared.drop(common)
+    shared.sweep(docs.sparkSession)
     heads = marked.where("size(signatures) > 0").groupBy("k0", "k1").agg(*(F.first(c).alias(c) for c in ("n_shingles", *_PARITY, "signatures", "tags")))
     heads = shared.cut(heads.withColumn("node", F.monotonically_increasing_id()))
     near = _near(heads)
@@ -302,21 +304,21 @@ def joined(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFra
     first = votes.groupBy("node").agg(F.max_by("pivot", F.struct("many", "pivot")).alias("b")).select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")).distinct()
     tried = shared.cut(first)
     edges = _linked(tried, texts, n, percent)
+    shared.sweep(docs.sparkSession)
     part = shared.cut(components(edges))
-    pairs = shared.cut(_across(near, brief, part, percent).join(tried, ["a", "b"], "left_anti"))
-    # of each other component the nearest, then whatever is still apart; components only grow, so no new pair comes up
-    for nearest in (True, False):
+    # the nearest of each other component first, as one link is mostly enough; then all that are still apart
+    for k in range(ROUNDS + 1):
+        pairs = _across(near, brief, part, percent).join(tried, ["a", "b"], "left_anti")
+        if k < ROUNDS:  # aggregated before any pair is written
+            pairs = pairs.groupBy("x", "component").agg(F.min_by(F.struct("a", "b"), F.struct("d", "a", "b")).alias("p")).select("p.*")
+        pairs = shared.cut(pairs.select("a", "b").distinct())
+        shared.sweep(docs.sparkSession)
         if pairs.isEmpty():
             break
-        some = pairs.groupBy("x", "component").agg(F.min_by(F.struct("a", "b"), F.struct("d", "a", "b")).alias("p")).select("p.*") if nearest else pairs.select("a", "b")
-        some = shared.cut(some.distinct())
-        found = _linked(some, texts, n, percent)
+        found, tried = _linked(pairs, texts, n, percent), tried.union(pairs)
         if not found.isEmpty():
             edges = edges.union(found)
             part = shared.cut(components(edges))
-        if nearest:
-            ends = [part.select(F.col("node").alias(c), F.col("component").alias(f"c{c}")) for c in ("a", "b")]
-            pairs = shared.cut(pairs.join(some, ["a", "b"], "left_anti").join(ends[0], "a", "left").join(ends[1], "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b"))
 
     member = marked.select("row", "doc_id", "k0", "k1").join(heads.select("k0", "k1", "node"), ["k0", "k1"]).join(part, "node", "left").select("row", "doc_id", F.coalesce("component", "node").alias("component"))
     ids = member.groupBy("component").agg(F.min("doc_id").alias("component_id"))

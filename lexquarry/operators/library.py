@@ -12,6 +12,8 @@ from pyspark.sql import types as T
 from lexquarry.functions import text as t
 from lexquarry.operators import radar
 
+GRAM = 3
+
 
 def _stem(c: Column | str) -> Column:
     return F.regexp_extract(c, r"([^/]*?)(?:\.[^./]*)?$", 1)
@@ -43,12 +45,23 @@ def resolved_sources(refs: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def found_cards(targets: DataFrame, cards: DataFrame) -> DataFrame:
-    """(target, path, matches): a card by path, path below the topic, exact stem, then a unique part of a stem."""
+    """(target, path, matches): a card by path, path below the topic, exact stem, then a unique part of a stem.
+
+    Every tier is a join on equal values; for the last, stems and targets meet by a piece of GRAM letters at most. An
+    empty target matches nothing.
+    """
     c = cards.select("path", _stem("path").alias("stem"))
     x = targets.select("target").distinct()
-    tier = F.when(F.col("path") == F.col("target"), 1).when(F.col("path").endswith(F.concat(F.lit("/"), F.col("target"))), 2).when(F.col("stem") == F.regexp_replace("target", r"\.md$", ""), 3).when(F.col("stem").contains(F.col("target")), 4)
-    # targets are what a person asked for: a few
-    d = c.join(F.broadcast(x.limit(10_000)), tier.isNotNull()).withColumn("tier", tier)
+    below = F.expr("transform(sequence(1, size(split(path, '/')) - 1), i -> array_join(slice(split(path, '/'), i + 1, size(split(path, '/'))), '/'))")
+    names = c.select("path", F.explode(F.concat(F.array(F.struct(F.lit(1).alias("tier"), F.col("path").alias("name")), F.struct(F.lit(3).alias("tier"), F.col("stem").alias("name"))),
+        F.when(F.contains("path", F.lit("/")), F.transform(below, lambda n: F.struct(F.lit(2).alias("tier"), n.alias("name")))).otherwise(F.array().cast("array<struct<tier:int,name:string>>")))).alias("n")).select("path", "n.*")
+    asked = x.where("target <> ''").select("target", F.explode(F.array(F.struct(F.lit(1).alias("tier"), F.col("target").alias("name")), F.struct(F.lit(2).alias("tier"), F.col("target").alias("name")),
+        F.struct(F.lit(3).alias("tier"), F.regexp_replace("target", r"\.md$", "").alias("name")))).alias("n")).select("target", "n.*")
+    exact = asked.join(names, ["tier", "name"]).select("target", "path", "tier")
+    grams = F.expr(f"array_distinct(flatten(transform(sequence(1, {GRAM}), k -> filter(transform(sequence(1, greatest(length(stem), 1)), i -> substring(stem, i, k)), g -> length(g) = k))))")
+    part = x.where("target <> ''").withColumn("gram", F.substring("target", 1, GRAM)).join(c.withColumn("gram", F.explode(grams)), "gram").where(F.col("stem").contains(F.col("target")))
+    d = exact.union(part.select("target", "path", F.lit(4).alias("tier")))
+    d = d.groupBy("target", "path").agg(F.min("tier").alias("tier"))
     best = d.groupBy("target", "tier").agg(F.count("*").alias("n"), F.min("path").alias("path")).groupBy("target").agg(F.min_by(F.struct("n", "path"), "tier").alias("b"))
     return x.join(best, "target", "left").select("target", F.when(F.col("b.n") == 1, F.col("b.path")).alias("path"), F.coalesce("b.n", F.lit(0)).alias("matches"))
 
@@ -145,18 +158,18 @@ def harvested(candidates: DataFrame, seen: DataFrame, library: DataFrame, embedd
     return radar.by_score(radar.budgeted(radar.relevant(scored, least), most))
 
 
-def clustered_boxes(boxes: DataFrame, gap: float, rounds: int = 20) -> DataFrame:
+def clustered_boxes(boxes: DataFrame, gap: float) -> DataFrame:
     """(page, cluster, x0, y0, x1, y1): boxes of a page merged while their gap-expanded boxes meet.
 
     boxes(page, x0, y0, x1, y1). One fold per page over its own few boxes: each takes in every cluster that it meets.
     """
     meets = f"b.x0 - {gap} <= c.x1 and c.x0 <= b.x1 + {gap} and b.y0 - {gap} <= c.y1 and c.y0 <= b.y1 + {gap}"
-    # after a box has joined clusters the result may meet others; the fold is repeated over its own result
-    once = f"""aggregate(m, slice(m, 1, 0), (cs, b) -> concat(filter(cs, c -> not ({meets})), array(named_struct(
+    # after a box has joined clusters the result may meet others; the fold is repeated over its own result, as often as
+    # there are boxes: a pass that changes anything leaves at least one cluster less
+    once = f"""aggregate(a, slice(a, 1, 0), (cs, b) -> concat(filter(cs, c -> not ({meets})), array(named_struct(
         'x0', least(b.x0, coalesce(array_min(transform(filter(cs, c -> {meets}), c -> c.x0)), b.x0)), 'y0', least(b.y0, coalesce(array_min(transform(filter(cs, c -> {meets}), c -> c.y0)), b.y0)),
         'x1', greatest(b.x1, coalesce(array_max(transform(filter(cs, c -> {meets}), c -> c.x1)), b.x1)), 'y1', greatest(b.y1, coalesce(array_max(transform(filter(cs, c -> {meets}), c -> c.y1)), b.y1))))))"""
     d = boxes.groupBy("page").agg(F.array_sort(F.collect_list(F.struct("x0", "y0", "x1", "y1"))).alias("m"))
-    for _ in range(min(rounds, 6)):
-        d = d.select("page", F.explode(F.array(F.expr(once))).alias("m"))
+    d = d.select("page", F.expr(f"aggregate(sequence(1, size(m)), m, (a, i) -> {once})").alias("m"))
     d = d.select("page", F.posexplode(F.array_sort("m")).alias("cluster", "b"))
     return d.select("page", "cluster", "b.*")

@@ -83,9 +83,11 @@ def dead_markdown_links(docs: DataFrame) -> DataFrame:
     d = docs.select("path", F.explode(t.markdown_links("raw_text")).alias("link")).where("link rlike '\\\\.md(#.*)?$' and not link rlike '^[a-z]+://'")
     folder = F.regexp_extract("path", r"^(.*/)?[^/]*$", 1)
     target = F.concat(folder, F.regexp_replace(F.regexp_replace("link", "#.*$", ""), "%20", " "))
-    step = lambda c: F.regexp_replace(c, r"[^/]+/\.\./|(?<=/|^)\./", "")
-    for _ in range(8):
-        target = step(target)
+    # a fold over the path's parts; what would lead above the top stays, and is no file's path
+    parts = F.aggregate(F.split(target, "/"), F.array().cast("array<string>"), lambda done, x: F.when(x.isin("", "."), done)
+        .when((x == "..") & (F.size(done) > 0) & (F.coalesce(F.try_element_at(done, F.lit(-1)), F.lit("..")) != ".."), F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))))
+        .otherwise(F.concat(done, F.array(x))))
+    target = F.array_join(parts, "/")
     d = d.withColumn("target", target).join(docs.select(F.col("path").alias("target")), "target", "left_anti")
     return findings(d.distinct(), "dead-link", "critical", F.col("link"))
 

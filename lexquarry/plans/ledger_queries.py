@@ -163,17 +163,17 @@ def s_json_lines(spark, d):
 
 
 _EAV = """WITH f(fid, name) AS (VALUES (1, 'title'), (2, 'DOI'), (3, 'url'), (4, 'extra'), (5, 'archiveID'), (6, 'date')),
-it AS (SELECT o_orderkey AS id, o_orderkey % 4 AS ty, o_orderdate AS added FROM orders WHERE o_orderkey < 2000)
+it AS (SELECT o_orderkey AS id, o_orderkey % 4 AS ty, o_orderdate AS added FROM orders)
 """
 
 
 def _eav(spark, d):
     """orders as items and lineitems as attribute values."""
-    o = table(spark, d, "orders").where("o_orderkey < 2000")
+    o = table(spark, d, "orders")
     item = o.select(F.col("o_orderkey").alias("itemID"), (F.col("o_orderkey") % 4).cast("int").alias("itemTypeID"), F.col("o_orderkey").cast("string").alias("key"), F.col("o_orderdate").cast("string").alias("dateAdded"))
     types = spark.createDataFrame([(0, "journalArticle"), (1, "book"), (2, "attachment"), (3, "preprint")], "itemTypeID int, typeName string")
     fields = spark.createDataFrame(list(enumerate(bibliography.FIELDS, 1)), "fieldID int, fieldName string")
-    li = table(spark, d, "lineitem").where("l_orderkey < 2000").withColumn("valueID", F.col("l_orderkey") * 100 + F.col("l_linenumber"))
+    li = table(spark, d, "lineitem").withColumn("valueID", F.col("l_orderkey") * 100 + F.col("l_linenumber"))
     data = li.select(F.col("l_orderkey").alias("itemID"), (F.col("l_linenumber") % 6 + 1).alias("fieldID"), "valueID")
     values = li.select("valueID", F.concat(F.lit("v"), F.col("l_partkey").cast("string")).alias("value"))
     return item, types, data, fields, values

@@ -192,9 +192,9 @@ def f_snippets(spark, d):
     return table(spark, d, "documents").select("doc_id", t.snippet("text").alias("snippet"), F.size(t.terms("text")).cast("long").alias("terms"))
 
 
-@query(r"""SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(replace(lower(substr(text, 1, 200)), '_', '-'), '\s+', '-', 'g'), '[^\p{L}\p{N}\p{M}_-]', '', 'g'), '-+', '-', 'g'), '-') AS slug FROM documents""")
+@query(r"""SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(replace(lower(text), '_', '-'), '\s+', '-', 'g'), '[^\p{L}\p{N}\p{M}_-]', '', 'g'), '-+', '-', 'g'), '-') AS slug FROM documents""")
 def f_slugs(spark, d):
-    return table(spark, d, "documents").select("doc_id", t.slug(F.substring("text", 1, 200), None).alias("slug"))
+    return table(spark, d, "documents").select("doc_id", t.slug(F.col("text"), None).alias("slug"))
 
 
 @query(r"""SELECT page_id, regexp_extract_all(html, '<a href="/([^"]*)"', 1)[1] AS first_link, trim(regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '\s+', ' ', 'g')).replace('&amp;', '&') AS title, len(html) AS n FROM pages""")

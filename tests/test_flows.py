@@ -170,6 +170,9 @@ def test_document_rules(spark):
     assert {r.detail for r in quality.missing_fields(d).collect()} == {"title", "category", "created", "updated", "tags", "summary"}
     assert [r.detail for r in quality.broken_wikilinks(d).collect()] == ["zz"]
     assert [r.detail for r in quality.dead_markdown_links(d).collect()] == ["no.md"]
+    deep = "/".join("abcdefghijkl") + "/x.md"
+    far = spark.createDataFrame([(deep, "[up](" + "../" * 12 + "top.md) [no](" + "../" * 13 + "top.md) [here](./y/../x.md) [dead](./../x.md)"), ("top.md", "")], "path string, raw_text string")
+    assert {r.detail for r in quality.dead_markdown_links(far).collect()} == {"../" * 13 + "top.md", "./../x.md"}
     assert {(r.path, r.code) for r in quality.stale(d, "2024-12-31").collect()} == {("wiki/a.md", "missing-volatility"), ("wiki/x/b.md", "missing-volatility")}
     old = spark.createDataFrame([("wiki/o.md", "---\nvolatility: hot\nupdated: 2024-01-01\ncategory: idea\n---\n[[a/b]] [[$x$]] [[fine]]")], "path string, raw_text string")
     assert [(r.code, r.detail) for r in quality.stale(old, "2024-12-31").collect()] == [("stale-article", "365")]

@@ -17,6 +17,24 @@ def test_cards(spark):
     assert rows(lib.found_cards(x, c)) == {("references/a-one.md", "wiki/references/a-one.md", 1), ("a-two", "wiki/references/a-two.md", 1), ("one", "wiki/references/a-one.md", 1), ("a-", None, 2)}
 
 
+def test_many_cards(spark):
+    c = spark.createDataFrame([("wiki/references/a-one.md",), ("wiki/x.md",), ("plain.md",)], "path string")
+    x = spark.range(10_500).selectExpr("concat('zz', id) as target").union(spark.createDataFrame([("on",), ("x",), ("n",), ("",), ("plain.md",), (None,)], "target string"))
+    assert rows(lib.found_cards(x, c).where("matches > 0")) == {("on", "wiki/references/a-one.md", 1), ("x", "wiki/x.md", 1), ("n", None, 2), ("plain.md", "plain.md", 1)}
+    assert lib.found_cards(x, c).count() == 10_506
+
+
+def test_boxes_that_join_one_by_one(spark):
+    # a spiral: each box meets the cluster only after the next inner one has joined it
+    spiral, (x0, y0, x1, y1) = [], (0.0, 0.0, 1.0, 1.0)
+    for k in range(12):
+        box = [(x1 + 1, y0, x1 + 2, y1 + 2), (x0, y1 + 1, x1 + 2, y1 + 2)][k % 2]
+        spiral.append((1, *box))
+        x1, y1 = max(x1, box[2]), max(y1, box[3])
+    b = spark.createDataFrame([(1, 0.0, 0.0, 1.0, 1.0), *spiral[::-1], (1, 900.0, 0.0, 901.0, 1.0)], "page int, x0 double, y0 double, x1 double, y1 double")
+    assert rows(lib.clustered_boxes(b, 1.5).select("x0", "y0", "x1", "y1")) == {(0.0, 0.0, x1, y1), (900.0, 0.0, 901.0, 1.0)}
+
+
 def test_names(spark):
     new, known = (spark.createDataFrame([(x,) for x in xs], "name string") for xs in (["spin liquids", "topological order", "zzz"], ["Spin Liquid", "Order", "Topological Orders"]))
     assert rows(lib.similar_names(new, known)) == {("spin liquids", "Spin Liquid"), ("topological order", "Topological Orders")}

@@ -1,7 +1,7 @@
 """Ranked retrieval over chunks(kb, chunk_id, path, collection, heading, content): BM25, nearest vectors, and their fusion.
 
-Postings and document lengths come from one explode with partial aggregation; a query touches only its terms'
-postings, so the corpus is scanned with a filter on terms and no document text is shuffled.
+`bm25` counts its words in one pass over the texts, and only counts are shuffled. For many queries over one corpus, write
+`index(chunks)` once as a table and ask it with `bm25_from`, which reads the lists of terms and no text.
 """
 
 from __future__ import annotations
@@ -30,34 +30,46 @@ def filtered(chunks: DataFrame, collection: str | None = None, glob: str | None
     return chunks if glob is None else chunks.where(F.col("path").rlike(t.glob_pattern(glob)))
 
 
+def index(chunks: DataFrame) -> DataFrame:
+    """(kb, chunk_id, path, collection, w): each chunk's terms in their order, to be written once and asked with bm25_from."""
+    return chunks.select("kb", "chunk_id", "path", "collection", t.terms("content").alias("w"))
+
+
 def bm25(chunks: DataFrame, query: str, collection: str | None = None, glob: str | None = None) -> DataFrame:
     """(kb, chunk_id, score): smaller is better, any of the query's words suffices.
 
     Frequencies and lengths are those of the whole kb; filters only choose what is returned. A word in half the chunks
     or more gets the weight 1e-6. A query word of several terms must stand as a phrase.
     """
-    words = [w for w in (x.replace('"', "") for x in query.split()) if w]
+    held = [c for c, needed in (("collection", collection is not None), ("path", glob is not None)) if needed]
+    return bm25_from(chunks.select("kb", "chunk_id", *held, t.terms("content").alias("w")), query, collection, glob)
+
+
+def bm25_from(terms: DataFrame, query: str, collection: str | None = None, glob: str | None = None) -> DataFrame:
+    """bm25 over index(...)."""
+    words = list(dict.fromkeys(w for w in (x.replace('"', "").lower() for x in query.split()) if w))
     if not words:
-        return chunks.select("kb", "chunk_id", F.lit(0.0).alias("score")).where("false")
-    # only counts of query terms leave a chunk: one row for each, whatever its length
-    d = chunks.withColumn("w", t.terms("content")).withColumn("joined", F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" ")))
-    phrase = [F.concat(F.lit(" "), F.array_join(t.terms(F.lit(w)), " "), F.lit(" ")) for w in dict.fromkeys(w.lower() for w in words)]
-    tf = [_count("joined", p) for p in phrase]
-    d = d.select("kb", "chunk_id", *(["collection"] if collection is not None else []), *(["path"] if glob is not None else []), F.size("w").alias("dl"), F.array(*tf).alias("tf"))
-    stats = d.groupBy("kb").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *(F.sum(F.when(F.col("tf")[i] > 0, 1).otherwise(0)).alias(f"df{i}") for i in range(len(phrase))))
-    idf = lambda i: F.when(F.log((F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5)) > 0, F.log((F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5))).otherwise(1e-6)
-    stats = stats.select("kb", "avgdl", F.array(*(idf(i) for i in range(len(phrase)))).alias("idf"))
+        return terms.select("kb", "chunk_id", F.lit(0.0).alias("score")).where("false")
+    tf = F.array(*(_count(F.col("x"), t.terms(F.lit(w))) for w in words))
+    keep = [c for c in terms.columns if c in ("collection", "path")]
+    # a generator, so that neither the split nor the counts are computed again for each place that uses them
+    d = terms.select("kb", "chunk_id", *keep, F.inline(F.array(F.struct(F.size("w").alias("dl"), F.array_join("w", "  ").alias("x")))))
+    d = d.select("kb", "chunk_id", *keep, "dl", F.explode(F.array(tf)).alias("tf"))
+    n, many = len(words), F.col("n")
+    stats = d.groupBy("kb").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *(F.count_if(F.col("tf")[i] > 0).alias(f"df{i}") for i in range(n)))
+    weights = [F.log((many - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5)) for i in range(n)]
+    stats = stats.select("kb", "avgdl", F.array(*(F.when(x > 0, x).otherwise(1e-6) for x in weights)).alias("idf"))
     hits = filtered(d.where(F.exists("tf", lambda x: x > 0)), collection, glob)
     one = F.zip_with("tf", "idf", lambda f, w: w * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))))
-    # a row for each kb: the number of knowledge bases, not of chunks
-    return hits.join(F.broadcast(stats), "kb").select("kb", "chunk_id", (-F.aggregate(one, F.lit(0.0), lambda a, x: a + x)).alias("score"))
+    # a row for each kb; whether it is small enough to broadcast is left to the measured size
+    return hits.join(stats, "kb").select("kb", "chunk_id", (-F.aggregate(one, F.lit(0.0), lambda a, x: a + x)).alias("score"))
 
 
-def _count(joined: str, phrase: Column) -> Column:
-    """How often a blank-separated phrase stands in a blank-separated text, places that share a blank included."""
-    double = lambda c: F.replace(c, F.lit(" "), F.lit("  "))
-    x, p = double(F.col(joined)), F.concat(F.lit(" "), double(F.trim(phrase)), F.lit(" "))
-    return ((F.length(x) - F.length(F.replace(x, p, F.lit("")))) / F.length(p)).cast("int")
+def _count(joined: Column, phrase: Column) -> Column:
+    """How often a phrase stands in terms joined by two blanks: with one blank at each end no two places share one."""
+    p = F.concat(F.lit(" "), F.array_join(phrase, "  "), F.lit(" "))
+    x = F.concat(F.lit(" "), joined, F.lit(" "))
+    return F.when(F.size(phrase) > 0, (F.length(x) - F.length(F.replace(x, p, F.lit("")))) / F.length(p)).otherwise(0).cast("int")
 
 
 def nearest(vectors: DataFrame, query: list[float], k: int) -> DataFrame:

@@ -16,6 +16,8 @@ from lexquarry.functions import text as t
         (t.wikilinks, "[[A]] and [[b|c]] [[d#e]]", ["A", "b", "d#e"]),
         (t.markdown_links, "[x](a.md) [y](<b c.md>) (z)", ["a.md", "b c.md"]),
         (t.image_targets, '![x](a.png) <img src="b.png"> ![y](<c d.png> "t")', ["a.png", "c d.png", "b.png"]),
+        (t.image_targets, "<IMG alt=x src=a.png><embed src='b c.pdf'/> <img data-x='1'>", ["a.png", "b c.pdf"]),
+        (t.image_targets, None, None),
         (t.image_kind, "images/../x.png", "escaping"),
         (t.image_kind, "//cdn/x.png", "external"),
         (t.image_kind, "C:\\x.png", "absolute"),
@@ -26,6 +28,14 @@ from lexquarry.functions import text as t
         (t.arxiv_id, "COND-MAT/0506438", "cond-mat/0506438"),
         (t.arxiv_id, "math.ag/0601001", "math.AG/0601001"),
         (t.arxiv_id, "figures/1234567", None),
+        (t.arxiv_id, "see 1234.567890 and abs/2101.00001v2", "2101.00001"),
+        (t.arxiv_id, "hep-th/9711200v3", "hep-th/9711200"),
+        (t.arxiv_id, "x2405.00208", None),
+        (t.doi, "<https://doi.org/10.1000/A-b(c)1>, 10.1/x", "10.1000/a-b(c)1"),
+        (t.doi, "110.1000/x", None),
+        (t.prose, "a $$x\ny$$ b $c$", "a   b  "),
+        (t.prose, "a\n```py\nx\n```\nb\n```\nopen", "a\n \nb\n \nopen"),
+        (t.prose, "a $x$ costs $5", "a   costs  5"),
         (t.doi, "see https://doi.org/10.1103/PhysRevB.1.2).", "10.1103/physrevb.1.2"),
         (t.arxiv_in_doi, "10.48550/arXiv.2405.00208", "2405.00208"),
         (t.arxiv_in_doi, "10.1000/182", None),

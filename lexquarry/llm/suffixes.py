@@ -22,8 +22,9 @@ from being sent; a false positive only adds rows to steps that compare exactly.
 shuffles, and no group is gathered, so a string that a third of all documents hold is no harder than others.
 
 Cases: null counts as empty; texts shorter than SPAN lose nothing; strings may overlap themselves and others in one
-text. Rows of one doc_id count as one document: a place is an id and a start, and what is removed at a place goes from
-all of them. A null id comes before all others.
+text. Rows of one doc_id and one text count as one document: a place is an id and a start, and what is removed at a place
+goes from all of them. Rows of one doc_id with other texts are documents of their own, in the order of their texts'
+SHA-256. A null id comes before all others. Ids may be of any type that can be sorted.
 """
 
 from __future__ import annotations
@@ -325,9 +326,34 @@ def kept_spans(size: int, starts: np.ndarray, ends: np.ndarray) -> tuple[list[tu
     return [(s, e) for s, e in keep if s < e], len(a)
 
 
+def _needs_numbers(docs: DataFrame) -> bool:
+    """Whether ids can't serve as places: not integers, or several rows have one. Only ids are read."""
+    if docs.schema["doc_id"].dataType.simpleString() not in ("tinyint", "smallint", "int", "bigint"):
+        return True
+    return not docs.groupBy("doc_id").agg(F.count("*").alias("many")).where(f"many > 1 or doc_id = {_NO_ID}").isEmpty()
+
+
+def numbered(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """docs with numbers as ids that grow with (doc_id, hash of the text), and (number, id) for each of them."""
+    d = docs.select("doc_id", "text", F.sha2(F.coalesce("text", F.lit("")), 256).alias("th"))
+    order = d.select("doc_id", "th").distinct().repartitionByRange(F.asc_nulls_first("doc_id"), "th").sortWithinPartitions(F.asc_nulls_first("doc_id"), "th")
+    # checkpointed, as the numbers must not change when a task is run again
+    names = shared.checkpointed(order.select(F.col("doc_id").alias("id"), F.col("th").alias("h"), F.monotonically_increasing_id().alias("number")))
+    rows = d.join(names, F.expr("doc_id <=> id and th = h")).select(F.col("number").alias("doc_id"), "text")
+    return shared.cut(rows), names.select("number", "id")
+
+
 def deduped(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) for each row; kept: the rest as bytes, null if all is kept."""
     docs = docs.select("doc_id", "text")
+    if not _needs_numbers(docs):
+        return _deduped(docs)
+    rows, names = numbered(docs)
+    return _deduped(rows).join(names, F.col("doc_id") == F.col("number")).select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
+
+
+def _deduped(docs: DataFrame) -> DataFrame:
+    """deduped() where rows of one integer id have one text."""
     filters, first, windows = places(docs)
     sent = docs.sparkSession.sparkContext.broadcast(filters)
     kind = docs.schema["doc_id"].dataType.simpleString()

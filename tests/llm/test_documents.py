@@ -301,6 +301,23 @@ def test_suffix_dedup(spark):
     assert got == brute_suffixes(texts)
 
 
+def test_suffix_dedup_of_clashing_ids(spark):
+    r = random.Random(4)
+    shared_part = "".join(r.choice("abcdef ") for _ in range(300))
+    rows = []
+    for i in range(30):
+        for _ in range(2):
+            rows.append((f"d{i:02}", "".join(r.choice("abcdef ") for _ in range(r.randint(0, 200))) + shared_part[: r.randint(0, 300)]))
+    rows += rows[:5] + [(None, shared_part), (None, None)]
+    # the operator's order: null first, then id, then the text's hash; equal rows are one document
+    order = sorted(set(rows), key=lambda x: (x[0] is not None, x[0] or "", sha(x[1] or "")))
+    brute = brute_suffixes({k: text for k, (_, text) in enumerate(order)})
+    expected = sorted((str(x[0]), *brute[order.index(x)]) for x in rows)
+    table = spark.createDataFrame(rows, "doc_id string, text string").repartition(3)
+    got = sorted((str(x.doc_id), x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in suffixes.deduped(table).collect())
+    assert got == expected
+
+
 def test_bpe_equals_the_library(spark):
     tokenizers = pytest.importorskip("tokenizers")
     t = tokenizers.Tokenizer.from_file(bpe.default_path())

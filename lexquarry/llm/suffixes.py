@@ -55,30 +55,22 @@ class Runs:
 
     def __init__(self, part: tb.Slice) -> None:
         data, n = part.data, len(part.data)
-        tb.span_hashes(data[:1], np.zeros(1, np.int64), np.ones(1, np.int64))
         self.row = self.at = self.lo = self.hi = np.zeros(0, np.int64)
         self.anchor = np.zeros(0, np.uint64)
         if n < SPAN:
             return
-        grams = tb.span_hashes(data, np.arange(n - GRAM + 1), np.arange(GRAM, n + 1))
-        # the smallest of REACH neighbours by doubling; the place in the low bits makes the rightmost of equal ones win
-        low = np.uint64(0xFFFFFFFF)
-        least, size = (grams & ~low) | (low - np.arange(len(grams), dtype=np.uint64)), 1
-        while 2 * size <= REACH:
-            least = np.minimum(least[:-size], least[size:])
-            size *= 2
-        rest = REACH - size
-        least = np.minimum(least[: len(least) - rest], least[rest:]) if rest else least
-        inside = np.zeros(len(least) + 1, np.int8)
+        grams = tb.all_grams(data, GRAM)
+        least = _least(grams)
+        step = np.zeros(len(least) + 1, np.int8)
         full = part.ends - part.starts >= SPAN
-        np.add.at(inside, part.starts[full], 1)
-        np.subtract.at(inside, part.ends[full] - SPAN + 1, 1)
-        p = np.flatnonzero(np.cumsum(inside[:-1]) > 0)
-        if not len(p):
-            return
-        a = (low - (least[p] & low)).astype(np.int64)
-        begin = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (p[1:] != p[:-1] + 1))))
-        self.lo, self.hi, self.at = p[begin], p[np.append(begin[1:], len(p)) - 1], a[begin]
+        step[part.starts[full]] = 1
+        step[part.ends[full] - SPAN + 1] = -1
+        inside = np.cumsum(step[:-1], dtype=np.int8).view(bool)
+        # a run ends where the anchor changes or the windows of a text do; those of two texts never touch
+        change = np.concatenate(([True], least[1:] != least[:-1], [True]))
+        change[1:-1] |= inside[1:] != inside[:-1]
+        self.lo, self.hi = np.flatnonzero(change[:-1] & inside), np.flatnonzero(change[1:] & inside)
+        self.at = (_LOW - (least[self.lo] & _LOW)).astype(np.int64)
         self.anchor, self.row = grams[self.at], part.row_of(self.lo)
 
     def only(self, keep: np.ndarray) -> Runs:
@@ -86,6 +78,24 @@ class Runs:
         return self
 
 
+_LOW = np.uint64(0xFFFFFFFF)
+
+
+def _least(grams: np.ndarray) -> np.ndarray:
+    """The smallest of REACH neighbours, found by doubling in pieces that stay in a core's cache: the hash's high half above
+    the place's complement, which makes the rightmost of equal ones win."""
+    many = len(grams) - REACH + 1
+    out = np.zeros(many, np.uint64)
+    for a in range(0, many, tb.PIECE):
+        b = min(a + tb.PIECE, many)
+        x, size = (grams[a : b + REACH - 1] & ~_LOW) | (_LOW - np.arange(a, b + REACH - 1, dtype=np.uint64)), 1
+        while 2 * size <= REACH:
+            x = np.minimum(x[:-size], x[size:])
+            size *= 2
+        out[a:b] = np.minimum(x[: b - a], x[REACH - size : REACH - size + b - a])
+    return out
+
+
 def _cut(anchor: np.ndarray) -> np.ndarray:
     return anchor >> np.uint64(64 - ANCHOR_BITS)
 
@@ -176,11 +186,11 @@ def blocks(docs: DataFrame, differing: Bloom, first: Bloom) -> DataFrame:
             padded = np.concatenate((np.zeros(SPAN, np.uint8), part.data, np.zeros(SPAN, np.uint8)))
             side = np.arange(BLOCK - 1)
             left, right = padded[SPAN + zero[:, None] + side], padded[SPAN + c[:, None] + core + side]
-            row, other = r.row[k], _OTHER[part.data]
+            row, one, two = r.row[k], tb.Spans(part.data), tb.Spans(_OTHER[part.data])
             a, b = zero + t["t0"], zero + t["t1"] + SPAN
             yield pa.RecordBatch.from_arrays(
-                [_long(tb.span_hashes(part.data, a, b)), _long(tb.span_hashes(other, a, b)), pa.array(_ids(part)[row]), pa.array(_block_codes(part, r, t)), pa.array(t["grid"], pa.int32()),
-                 _long(tb.span_hashes(part.data, c, c + core)), _long(tb.span_hashes(other, c, c + core)),
+                [_long(one.hashes(a, b)), _long(two.hashes(a, b)), pa.array(_ids(part)[row]), pa.array(_block_codes(part, r, t)), pa.array(t["grid"], pa.int32()),
+                 _long(one.hashes(c, c + core)), _long(two.hashes(c, c + core)),
                  *(pa.FixedSizeBinaryArray.from_buffers(binary, len(k), [None, pa.py_buffer(np.ascontiguousarray(s).tobytes())]).cast(pa.binary()) for s in (left, right)),
                  pa.array(zero - part.starts[row]), pa.array(t["t0"], pa.int32()), pa.array(t["t1"], pa.int32())],
                 ["f0", "f1", "doc_id", "code", "grid", "c0", "c1", "left", "right", "at", "t0", "t1"],

@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 SLICE_BYTES = 1 << 20
+PIECE = 1 << 15
 EIGHT = 8
 _B = np.uint64(0x9E3779B97F4A7C15 | 1)
 _B_INV = np.uint64(pow(int(_B), -1, 1 << 64))
@@ -95,29 +96,67 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span of bytes, from prefix sums of a polynomial, whatever the spans' lengths.
+class Spans:
+    """64-bit hashes of spans of bytes, from prefix sums of a polynomial, whatever the spans' lengths.
 
     The terms are mixed runs of EIGHT bytes: a polynomial modulo 2**64 over single bytes gives the two Thue-Morse strings
     over any two letters one hash, whatever its base. Shorter spans, which that can't happen to, are hashed byte by byte.
     """
-    n = len(data)
-    if len(_powers.get("up", ())) <= n:
-        size = 1 << int(n + 1).bit_length()
-        for name, base in (("up", _B), ("down", _B_INV)):
-            p = np.full(size, base, np.uint64)
-            p[0] = 1
-            _powers[name] = np.multiply.accumulate(p)
-    up, size = _powers["up"], ends - starts
-    long = size >= EIGHT
-    h = np.zeros(len(starts), np.uint64)
-    for these, terms, cut in ((~long, lambda: _BYTE[data], 0), (long, lambda: mix(_runs_of_eight(data)), EIGHT - 1)):
-        if these.any():
-            x = terms()
+
+    def __init__(self, data: np.ndarray) -> None:
+        self.data, self._totals = data, {}
+        n = len(data)
+        if len(_powers.get("up", ())) <= n:
+            size = 1 << int(n + 1).bit_length()
+            for name, base in (("up", _B), ("down", _B_INV)):
+                p = np.full(size, base, np.uint64)
+                p[0] = 1
+                _powers[name] = np.multiply.accumulate(p)
+
+    def _total(self, long: bool) -> np.ndarray:
+        if long not in self._totals:
+            x = mix(_runs_of_eight(self.data)) if long else _BYTE[self.data]
+            x *= _powers["up"][: len(x)]
             total = np.zeros(len(x) + 1, np.uint64)
-            np.cumsum(x * up[: len(x)], out=total[1:])
-            h[these] = (total[ends[these] - cut] - total[starts[these]]) * _powers["down"][starts[these]]
-    return mix(h ^ size.astype(np.uint64))
+            np.cumsum(x, out=total[1:])
+            self._totals[long] = total
+        return self._totals[long]
+
+    def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        size = ends - starts
+        long = size >= EIGHT
+        if long.all():
+            h = self._sums(True, starts, ends) if len(starts) else np.zeros(0, np.uint64)
+        else:
+            h = np.zeros(len(starts), np.uint64)
+            for kind, these in ((False, ~long), (True, long)):
+                if these.any():
+                    h[these] = self._sums(kind, starts[these], ends[these])
+        return mix(h ^ size.astype(np.uint64))
+
+    def _sums(self, long: bool, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        total = self._total(long)
+        return (total[ends - (EIGHT - 1 if long else 0)] - total[starts]) * _powers["down"][starts]
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Spans.hashes of one set of spans."""
+    return Spans(data).hashes(starts, ends)
+
+
+def all_grams(data: np.ndarray, size: int) -> np.ndarray:
+    """A hash of the `size` bytes (a multiple of EIGHT) from each place on, in pieces that stay in a core's cache."""
+    many = len(data) - size + 1
+    out = np.zeros(max(many, 0), np.uint64)
+    for a in range(0, many, PIECE):
+        b = min(a + PIECE, many)
+        x = mix(_runs_of_eight(data[a : b + size - 1]))
+        h = out[a:b]
+        for j in range(0, size, EIGHT):
+            h *= _B
+            h += x[j : j + b - a]
+        h[:] = mix(h)
+    return out
 
 
 def _runs_of_eight(data: np.ndarray) -> np.ndarray:

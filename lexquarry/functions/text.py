@@ -47,6 +47,11 @@ def found(c: Col, pattern: str, group: int = 1) -> Column:
     return F.when(x.rlike(pattern), F.regexp_extract(x, pattern, group))
 
 
+def _once(value: Column, then) -> Column:
+    """then(value), with the value computed once however often `then` uses it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def squeezed(c: Col) -> Column:
     """Runs of white space become one blank, none at the ends."""
     return F.trim(F.regexp_replace(_c(c), r"\s+", " "))
@@ -132,11 +137,14 @@ def namespaced(prefix: Col, c: Col, most: int = 110) -> Column:
 
 def arxiv_id(c: Col) -> Column:
     """The first identifier, canonical and without version: labelled forms first, then bare ones; null if none."""
-    raw = F.coalesce(found(c, ARXIV_LABELLED), found(c, ARXIV_BARE))
-    archive, serial = F.split_part(raw, F.lit("/"), F.lit(1)), F.split_part(raw, F.lit("/"), F.lit(2))
-    base, subject = F.split_part(archive, F.lit("."), F.lit(1)), F.split_part(archive, F.lit("."), F.lit(2))
-    old = F.concat(F.lower(base), F.when(subject != "", F.concat(F.lit("."), F.upper(subject))).otherwise(""), F.lit("/"), serial)
-    return F.when(raw.contains("/"), old).otherwise(raw)
+
+    def canonical(raw: Column) -> Column:
+        archive, serial = F.split_part(raw, F.lit("/"), F.lit(1)), F.split_part(raw, F.lit("/"), F.lit(2))
+        base, subject = F.split_part(archive, F.lit("."), F.lit(1)), F.split_part(archive, F.lit("."), F.lit(2))
+        old = F.concat(F.lower(base), F.when(subject != "", F.concat(F.lit("."), F.upper(subject))).otherwise(""), F.lit("/"), serial)
+        return F.when(raw.contains("/"), old).otherwise(raw)
+
+    return _once(_c(c), lambda x: _once(F.coalesce(found(x, ARXIV_LABELLED), found(x, ARXIV_BARE)), canonical))
 
 
 def arxiv_ids(c: Col) -> Column:
@@ -164,9 +172,15 @@ def arxiv_in_doi(c: Col) -> Column:
 
 def identity(c: Col) -> Column:
     """struct(arxiv_id, doi, source): what a text says about its paper, and how it was learnt."""
-    d, a = doi(c), arxiv_id(c)
-    inside = arxiv_in_doi(d)
-    return F.struct(F.coalesce(a, inside).alias("arxiv_id"), d.alias("doi"), F.when(a.isNotNull(), "text").when(inside.isNotNull(), "doi-text").otherwise("").alias("source"))
+
+    def parts(x: Column) -> Column:
+        return _once(F.struct(doi(x).alias("doi"), arxiv_id(x).alias("arxiv")), lambda s: _once(F.struct(s["doi"].alias("doi"), s["arxiv"].alias("arxiv"), arxiv_in_doi(s["doi"]).alias("inside")), told))
+
+    def told(s: Column) -> Column:
+        source = F.when(s["arxiv"].isNotNull(), "text").when(s["inside"].isNotNull(), "doi-text").otherwise("")
+        return F.struct(F.coalesce(s["arxiv"], s["inside"]).alias("arxiv_id"), s["doi"].alias("doi"), source.alias("source"))
+
+    return _once(_c(c), parts)
 
 
 def titles_match(a: Col, b: Col, share: float = 0.6) -> Column:

@@ -48,8 +48,8 @@ def batch_lookup(requests: DataFrame) -> DataFrame:
 
 
 def accepted_page(pages: DataFrame, least: int = 20_000) -> DataFrame:
-    """(url, ok, reason): is the served HTML a paper? pages(url, final_url, html)."""
-    reason = F.when(F.col("final_url").contains("/abs/"), "redirected to the abstract").when(F.octet_length("html") < least, "too short").when(~F.col("html").contains("alttext"), "no formulas")
+    """(url, ok, reason): is the served HTML a paper? pages(url, final_url, html); no HTML is too short."""
+    reason = F.when(F.col("final_url").contains("/abs/"), "redirected to the abstract").when(F.coalesce(F.octet_length("html"), F.lit(0)) < least, "too short").when(~F.col("html").contains("alttext"), "no formulas")
     return pages.select("url", reason.isNull().alias("ok"), reason.alias("reason"))
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexquarry.llm import bpe, decontaminate, licenses, linededup, partenum, pii, quality, secrets, suffixes, warc
+from lexquarry.llm import bpe, decontaminate, licenses, linededup, merkle, partenum, pii, quality, resampling, secrets, suffixes, tokenfiles, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,6 +61,24 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", F.when(F.col("error").isNotNull(), broken).otherwise(F.col("verified")).alias("verified"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select(*merkle.FIELDS)
+    tampered = F.expr("n_chars + if(crc32(cast(doc_id AS string)) % 7 = 0, 1, 0)")
+    changed = merkle.leaf(*(tampered if c == "n_chars" else F.col(c) for c in merkle.FIELDS))
+    proofs = merkle.proved(docs, merkle.leaf(*map(F.col, merkle.FIELDS)), keep=("doc_id", changed.alias("changed")))
+    found = merkle.folded(F.col("changed"), F.col("proof"))
+    return proofs.select("doc_id", "leaf", "subroot", "root", merkle.siblings_hash(F.col("proof")).alias("proof_sha256"), found.alias("folded_root")).withColumn("verified", F.expr("folded_root = root"))
+
+
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = resampling.resampled(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfiles.digests(tokenfiles.read(spark, tokenfiles.written(_table(spark, sf_dir, "documents"))))
+
+
 OP1_SQL = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 i AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
@@ -122,6 +140,49 @@ SELECT doc_id, coalesce(n, 0) AS n_shingles, least(doc_id, coalesce(m, doc_id))
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT a AS doc_id, min(b) AS m FROM r GROUP BY 1) USING (doc_id)
 """
 
+#: crc32 of a string's UTF-8 bytes: a table of 256 remainders, then a fold over the bytes.
+_CRC_TABLE = "SELECT list_transform(range(256), lambda i: list_reduce(list_concat([i], list_transform(range(8), lambda z: 0::BIGINT)), lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tab"
+_CRC = "xor(list_reduce(list_concat([4294967295], list_transform(range(octet_length(encode({0}))), lambda i: CAST('0x' || substr(hex(encode({0})), CAST(2 * i + 1 AS INTEGER), 2) AS BIGINT))), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295)"
+_FIELD = "coalesce(octet_length(encode(CAST({0} AS VARCHAR))) || ':' || CAST({0} AS VARCHAR), '-')"
+_LEAF = "sha256(" + " || ".join(_FIELD.format(c) for c in merkle.FIELDS) + ")"
+OP11_SQL = f"""
+WITH RECURSIVE crc AS ({_CRC_TABLE}),
+d AS (SELECT doc_id, lang, {_LEAF} AS leaf, CASE WHEN {_CRC.format("CAST(doc_id AS VARCHAR)")} % 7 = 0 THEN {_LEAF.replace("n_chars", "(n_chars + 1)")} ELSE {_LEAF} END AS changed FROM documents, crc),
+i AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id, leaf) - 1 AS i FROM d),
+up(lang, k, h) AS (
+  SELECT lang, 0, list(leaf ORDER BY i) FROM i GROUP BY lang
+  UNION ALL SELECT lang, k + 1, list_transform(range((len(h) + 1) // 2), lambda j: sha256(h[2 * j + 1] || coalesce(h[2 * j + 2], ''))) FROM up WHERE len(h) > 1),
+sub AS (SELECT lang, h[1] AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS j FROM up WHERE len(h) = 1),
+top(k, h) AS (
+  SELECT 0, list(subroot ORDER BY j) FROM sub
+  UNION ALL SELECT k + 1, list_transform(range((len(h) + 1) // 2), lambda j: sha256(h[2 * j + 1] || coalesce(h[2 * j + 2], ''))) FROM top WHERE len(h) > 1),
+steps AS (
+  SELECT i.lang, i, k, (i >> k) % 2 AS slot, coalesce(h[xor(i >> k, 1) + 1], '') AS s FROM i JOIN up ON i.lang IS NOT DISTINCT FROM up.lang AND len(h) > 1
+  UNION ALL SELECT i.lang, i, 1000 + k, (j >> k) % 2, coalesce(h[xor(j >> k, 1) + 1], '') FROM i JOIN sub ON i.lang IS NOT DISTINCT FROM sub.lang, top WHERE len(h) > 1),
+proofs AS (SELECT lang, i, string_agg(s, '' ORDER BY k) AS p, list({{'slot': slot, 's': s}} ORDER BY k) AS l FROM steps GROUP BY 1, 2),
+f AS (SELECT doc_id, leaf, subroot, (SELECT h[1] FROM top WHERE len(h) = 1) AS root, sha256(coalesce(p, '')) AS proof_sha256,
+  list_reduce(list_concat([{{'slot': 0::BIGINT, 's': changed}}], coalesce(l, [])), lambda a, x: {{'slot': 0::BIGINT, 's': sha256(CASE WHEN x.slot = 1 THEN x.s || a.s ELSE a.s || x.s END)}}).s AS folded_root
+  FROM i JOIN sub ON i.lang IS NOT DISTINCT FROM sub.lang LEFT JOIN proofs p ON p.lang IS NOT DISTINCT FROM i.lang AND p.i = i.i)
+SELECT *, folded_root = root AS verified FROM f
+"""
+_WORDS_12 = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+OP12_SQL = f"""
+WITH crc AS ({_CRC_TABLE}),
+d AS (SELECT doc_id, {_WORDS_12} AS w FROM documents),
+dw AS (SELECT doc_id, unnest(w) AS word FROM d),
+tw AS (SELECT unnest({_WORDS_12}) AS word FROM benchmark),
+v AS MATERIALIZED (SELECT word, {_CRC.format("word")} % {resampling.BUCKETS} AS b FROM (SELECT word FROM dw UNION SELECT word FROM tw), crc),
+s AS (SELECT b, count(*) AS s FROM dw JOIN v USING (word) GROUP BY 1),
+t AS (SELECT b, count(*) AS t FROM tw JOIN v USING (word) GROUP BY 1),
+g AS (SELECT b, CAST(floor(1000 * ln(CAST(coalesce(t, 0) + 1 AS DOUBLE) * (coalesce((SELECT sum(s) FROM s), 0) + {resampling.BUCKETS}) / (CAST(coalesce(s, 0) + 1 AS DOUBLE) * (coalesce((SELECT sum(t) FROM t), 0) + {resampling.BUCKETS})))) AS BIGINT) AS g FROM s FULL JOIN t USING (b)),
+w AS (SELECT doc_id, count(*) AS n, sum(g) AS total FROM dw JOIN v USING (word) JOIN g USING (b) GROUP BY 1),
+x AS (SELECT doc_id, coalesce(n, 0) AS n_features, CAST(coalesce(floor(total / n), 0) AS BIGINT) AS weight, CAST('0x' || substr(sha256('{resampling.SEED}:' || doc_id), 1, 8) AS BIGINT) AS h FROM d LEFT JOIN w USING (doc_id)),
+y AS (SELECT doc_id, n_features, weight, CAST(weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score FROM x),
+r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM y WHERE n_features >= {resampling.MIN_WORDS}),
+k AS (SELECT {resampling.PERCENT} * count(*) // 100 AS k FROM r)
+SELECT y.*, CASE WHEN rank <= k THEN rank END AS rank FROM y LEFT JOIN r USING (doc_id), k
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
@@ -135,8 +196,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_bpe": op8_bpe,
         "op9_ngram_jaccard": op9_ngram_jaccard,
         "op10_warc": op10_warc,
+        "op11_merkle": op11_merkle,
+        "op12_resampling": op12_resampling,
+        "op13_token_files": op13_token_files,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": OP1_SQL, "op3_line_dedup": OP3_SQL, "op5_licenses": OP5_SQL, "op9_ngram_jaccard": OP9_SQL, "op10_warc": OP10_SQL}
+    return {"op1_decontaminate": OP1_SQL, "op3_line_dedup": OP3_SQL, "op5_licenses": OP5_SQL, "op9_ngram_jaccard": OP9_SQL, "op10_warc": OP10_SQL, "op11_merkle": OP11_SQL, "op12_resampling": OP12_SQL}

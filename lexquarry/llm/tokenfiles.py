@@ -7,7 +7,8 @@ twice. ORC stores the ids by integer run lengths, with an index for every STRIDE
 stripes are read by tasks of their own, and a search for ids leaves out row groups that can't hold them.
 
 The tokenizer is a file of the tokenizers library. For a byte-level vocabulary texts are split into words first and the
-library encodes each word once for each worker, which gives the same ids; with any other file it encodes whole texts.
+library's model encodes each word once for each worker, which gives the same ids; with any other file it encodes whole
+texts.
 Strings of special tokens in a text become those tokens; no special tokens are added, and nothing is cut off or padded.
 
 Cases: null counts as empty and has the end id alone; a null id comes first; rows of one id come in the order of their
@@ -18,15 +19,15 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import accumulate, chain
+from itertools import accumulate, groupby
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,18 +39,25 @@ END = 2
 STRIDE, STRIPE_BYTES, BLOOM_FPP = 1_000, 16 << 20, 0.01
 PIECE = 1 << 20
 #: A worker keeps the ids of words of up to LONG characters, until they come to CACHED_CHARS.
-LONG, CACHED_CHARS = 200, 16 << 20
-_BETWEEN_WORDS = regex.compile(r"(?<=[0-9A-Za-z])(?= [0-9A-Za-z])")
+LONG, CACHED_CHARS = 200, 6 << 20
+_BETWEEN_WORDS = re.compile(r"(?<=[0-9A-Za-z])(?= [0-9A-Za-z])")
+# letters, numbers and white space up to U+024F; what other characters are differs between versions of Unicode, so the
+# library itself splits what holds them
+_L, _N, _S = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
+_LATIN = re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
+_BEYOND = re.compile("[^\x00-\u024f]")
+_LETTERS = dict(enumerate(bpe.byte_letters()))
 
 
 class Words(dict):
-    """The ids of words, encoded by the library when first met."""
+    """The ids of words as little-endian numbers of four bytes, encoded by the library's model when first met."""
 
     def __init__(self, tokenizer: object) -> None:
-        self.tokenizer, self.chars = tokenizer, 0
+        self.model, self.chars = tokenizer.model, 0
 
-    def __missing__(self, word: str) -> list[int]:
-        ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+    def __missing__(self, word: str) -> bytes:
+        found = self.model.tokenize(word.encode().decode("latin-1").translate(_LETTERS))
+        ids = np.array([t.id for t in found], "<i4").tobytes()
         if len(word) <= LONG:
             if self.chars > CACHED_CHARS:
                 self.clear()
@@ -70,25 +78,38 @@ class Encoder:
         split, added = file.get("pre_tokenizer") or {}, file.get("added_tokens") or []
         plain = not any(t[k] for t in added for k in ("lstrip", "rstrip", "single_word"))
         self.by_words = split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True) and not file.get("normalizer") and plain
-        if self.by_words:
-            special = "|".join(regex.escape(t["content"]) for t in sorted(added, key=lambda t: -len(t["content"])))
-            self.words, self.known = regex.compile(bpe.PATTERN), Words(self.tokenizer)
-            self.special = regex.compile(f"({special})") if special else None
+        self.known = Words(self.tokenizer)
+        special = "|".join(re.escape(t["content"]) for t in sorted(added, key=lambda t: -len(t["content"])))
+        self.special = re.compile(f"({special})") if special else None
 
-    def encode(self, text: str) -> np.ndarray:
+    def encode(self, text: str) -> bytes:
+        """The ids of a text as in Words."""
         if not self.by_words:
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int32)
-        found = [self._plain(p) if k % 2 == 0 else self.known[p] for k, p in enumerate(self.special.split(text) if self.special else [text])]
-        return np.concatenate([np.asarray(x, np.int32) for x in found])
-
-    def _plain(self, text: str) -> np.ndarray:
+            return self._whole(text)
+        parts = self.special.split(text) if self.special else [text]
+        return self._plain(text) if len(parts) == 1 else b"".join(self._whole(p) if k % 2 else self._plain(p) for k, p in enumerate(parts))
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<i4").tobytes()
+
+    def _plain(self, text: str) -> bytes:
+        if _BEYOND.search(text):
+            # cut where every version sees two words, and joined again to the longest parts with and without them
+            kinds = groupby(_BETWEEN_WORDS.split(text), lambda p: bool(_BEYOND.search(p)))
+            return b"".join(self._whole("".join(p)) if beyond else self._latin("".join(p)) for beyond, p in kinds)
+        return self._latin(text)
+
+    def _latin(self, text: str) -> bytes:
+        words, ids = _LATIN.findall, self.known.__getitem__
+        if len(text) <= 2 * PIECE:
+            return b"".join(map(ids, words(text)))
         out, at = [], 0
-        while at < len(text) or not out:
-            cut = _BETWEEN_WORDS.search(text, at + PIECE) if len(text) - at > 2 * PIECE else None
+        while at < len(text):
+            cut = _BETWEEN_WORDS.search(text, at + PIECE)
             end = cut.start() if cut else len(text)
-            out.append(np.fromiter(chain.from_iterable(map(self.known.__getitem__, self.words.findall(text, at, end))), np.int32))
+            out.append(b"".join(map(ids, words(text, at, end))))
             at = end
-        return out[0] if len(out) == 1 else np.concatenate(out)
+        return b"".join(out)
 
 
 @lru_cache(maxsize=2)
@@ -101,11 +122,11 @@ def encoded(docs: DataFrame, path: str | None = None, end: int = END) -> DataFra
     path = path or bpe.default_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, at = TaskContext.get().partitionId(), 0
+        part, at, last = TaskContext.get().partitionId(), 0, np.array([end], "<i4").tobytes()
         for rows in tb.slices(batches, "text"):
-            ids = [np.append(load(path).encode(rows.text(i).decode()), np.int32(end)) for i in range(len(rows))]
-            upto = np.cumsum([0, *map(len, ids)])
-            columns = [rows.rows.column(0), pa.array(np.full(len(rows), part, np.int32)), pa.array(at + upto[:-1]), pa.array(np.diff(upto)), pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.array(np.concatenate(ids)))]
+            ids = [load(path).encode(rows.text(i).decode()) + last for i in range(len(rows))]
+            upto = np.cumsum([0, *map(len, ids)]) // 4
+            columns = [rows.rows.column(0), pa.array(np.full(len(rows), part, np.int32)), pa.array(at + upto[:-1]), pa.array(np.diff(upto)), pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.array(np.frombuffer(b"".join(ids), "<i4")))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "part", "at", "n_tokens", "ids"])
             at += int(upto[-1])
 

@@ -2,6 +2,7 @@ import random
 import struct
 from zlib import crc32
 
+import numpy as np
 import public_tokenizers
 import pyarrow.orc
 import pytest
@@ -47,14 +48,29 @@ def test_files_against_the_library(spark, path):
     assert all(a.last_id < b.first_id and a.start + a.tokens == b.start for a, b in zip(parts, parts[1:]))
 
 
+def ids(encoder, text):
+    return np.frombuffer(encoder.encode(text), "<i4").tolist()
+
+
+def test_all_kinds_of_characters():
+    """Every character up to U+3100 between letters, blanks and numbers."""
+    encode, own = library(BYTE_BPE), tokenfiles.Encoder(BYTE_BPE)
+    for a in range(0, 0x3100, 16):
+        text = "".join(f"x{chr(c)} {chr(c)}1{chr(c)}{chr(c)} \n{chr(c)}'s" for c in range(a, a + 16))
+        assert ids(own, text) == encode(text), a
+        mixed = f"plain words here {text} and 12 more"
+        assert ids(own, mixed) == encode(mixed), a
+
+
 def test_long_texts_are_cut_between_words(monkeypatch):
     encode, text = library(BYTE_BPE), " ".join(words(600, 5).split()) + "  \n end. " + "q" * 3000 + " and more 12 of it"
+    text += " " + text.replace("a", "漢")
     monkeypatch.setattr(tokenfiles, "PIECE", 50)
     own = tokenfiles.Encoder(BYTE_BPE)
-    assert own.by_words and own.encode(text).tolist() == encode(text)
+    assert own.by_words and ids(own, text) == encode(text)
     monkeypatch.setattr(tokenfiles, "CACHED_CHARS", 100)
     small = tokenfiles.Encoder(BYTE_BPE)
-    assert small.encode(text).tolist() == encode(text) and small.known.chars < 400
+    assert ids(small, text) == encode(text) and small.known.chars < 400
 
 
 def test_stripes_and_pruning(spark, tmp_path, monkeypatch):

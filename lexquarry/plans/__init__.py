@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from lexquarry.plans import graph_queries, ledger_queries, library_queries, record_queries, retrieval_queries, rule_queries, structure_queries, upkeep_queries
+from lexquarry.plans import graph_queries, ledger_queries, library_queries, output_queries, record_queries, retrieval_queries, rewriting_queries, rule_queries, structure_queries, upkeep_queries
 
-_MODULES = (retrieval_queries, graph_queries, ledger_queries, library_queries, rule_queries, record_queries, upkeep_queries, structure_queries)
+_MODULES = (retrieval_queries, graph_queries, ledger_queries, library_queries, rule_queries, record_queries, upkeep_queries, structure_queries, rewriting_queries, output_queries)
 
 
 def queries() -> dict[str, Callable]:

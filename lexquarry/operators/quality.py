@@ -141,7 +141,8 @@ def conversion_gates(conversions: DataFrame) -> DataFrame:
     words = t.word_count(text)
     leftover = F.regexp_count(t.prose(text), F.lit(LEFTOVER_TEX))
     kinds = F.filter(F.transform(t.image_targets(md), lambda x: t.image_kind(x)), lambda k: ~k.isin("portable", "external"))
-    claimed = t.arxiv_id(F.substring(md, 1, 2000))
+    # the paper's own field; what its text cites says nothing
+    claimed = t.arxiv_id(t.scalar_field(t.frontmatter(md), "arxiv_id"))
     gate = lambda ok, code, severity, detail: F.when(ok, F.struct(F.lit(code).alias("code"), F.lit(severity).alias("severity"), detail.cast("string").alias("detail")))
     checks = F.array(
         gate(F.substring("payload", 1, 5) == F.lit(b"%PDF-"), "payload-is-pdf", "block", F.lit("the payload is a PDF")),
@@ -149,7 +150,7 @@ def conversion_gates(conversions: DataFrame) -> DataFrame:
         gate(leftover > 0, "leftover-tex", "flag", leftover),
         gate(F.col("figures_referenced") > F.col("figures_resolved"), "figure-count-mismatch", "flag", F.col("figures_referenced") - F.col("figures_resolved")),
         gate(F.size(kinds) > 0, "image-references", "block", F.array_join(F.slice(kinds, 1, 3), ", ")),
-        gate(claimed != F.col("expected_arxiv_id"), "wrong-paper", "block", claimed),
+        gate(claimed != t.arxiv_id("expected_arxiv_id"), "wrong-paper", "block", claimed),
         gate(~F.startswith(md, F.lit("---\n")), "no-frontmatter", "flag", F.lit("no frontmatter")),
     )
     d = conversions.select("path", F.posexplode(F.filter(checks, lambda c: c.isNotNull())).alias("ord", "f"))

@@ -154,17 +154,20 @@ def c7_tag_index(spark, d):
 h AS (SELECT item_id, max(CASE WHEN contains(text, quote) THEN 2 WHEN contains(trim(regexp_replace(text, '\\s+', ' ', 'g')), trim(regexp_replace(quote, '\\s+', ' ', 'g'))) THEN 1 ELSE 0 END) AS t FROM q, s GROUP BY 1)
 SELECT item_id, CASE t WHEN 2 THEN 'exact' WHEN 1 THEN 'whitespace' ELSE 'not-found' END AS result FROM h""".replace("\\\\", "\\"), cte=False)
 def c6_verify_quotes(spark, d):
-    """Every benchmark text as a quotation from any document: candidates share the quotation's rarest words, then the tiers."""
-    from lexquarry.functions import text as t
-
-    q = table(spark, d, "benchmark").select("item_id", F.col("text").alias("quote"))
-    s = table(spark, d, "documents").select("doc_id", "text")
-    words = s.select("doc_id", F.explode(F.array_distinct(F.split(t.squeezed("text"), " "))).alias("w"))
-    # a quotation's inner words stand whole in its source; the rarest of them leads to few documents
-    inner = q.select("item_id", F.explode(F.expr(r"slice(split(trim(regexp_replace(quote, r'\s+', ' ')), ' '), 2, greatest(size(split(trim(regexp_replace(quote, r'\s+', ' ')), ' ')) - 2, 1))")).alias("w")).distinct()
-    df = words.join(inner.select("w").distinct(), "w").groupBy("w").agg(F.count("*").alias("df"))
-    key = inner.join(df, "w", "left").groupBy("item_id").agg(F.min_by("w", F.struct(F.coalesce("df", F.lit(0)), "w")).alias("w"))
-    pairs = key.join(words, "w").select("item_id", "doc_id").distinct().join(q, "item_id").join(s, "doc_id")
-    tier = F.when(F.col("text").contains(F.col("quote")), 2).when(t.squeezed("text").contains(t.squeezed("quote")), 1).otherwise(0)
-    best = pairs.groupBy("item_id").agg(F.max(tier).alias("t"))
-    return q.join(best, "item_id", "left").select("item_id", F.when(F.col("t") == 2, "exact").when(F.col("t") == 1, "whitespace").otherwise("not-found").alias("result"))
+    """Every benchmark text as a quotation from any document."""
+    q = table(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("quote"))
+    return c.found_anywhere(q, table(spark, d, "documents").select("doc_id", "text")).withColumnRenamed("id", "item_id")
+
+
+@query("""WITH b AS (SELECT item_id, string_split_regex(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ') AS w FROM benchmark),
+q AS (SELECT 3 * item_id + k AS id, CASE k WHEN 0 THEN w[2] WHEN 1 THEN w[3][2:] || CASE WHEN item_id % 2 = 0 THEN ' ' ELSE '  ' END || w[4][1:2] ELSE w[5][2:4] || ' ' END AS quote FROM b, (VALUES (0), (1), (2)) v(k)),
+s AS (SELECT text, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS plain FROM documents),
+h AS (SELECT id, max(CASE WHEN contains(text, quote) THEN 2 WHEN contains(plain, trim(regexp_replace(quote, '\\s+', ' ', 'g'))) THEN 1 ELSE 0 END) AS t FROM q, s WHERE quote <> '' GROUP BY 1)
+SELECT q.id, CASE WHEN trim(quote) = '' OR quote IS NULL THEN 'malformed' WHEN t = 2 THEN 'exact' WHEN t = 1 THEN 'whitespace' ELSE 'not-found' END AS result FROM q LEFT JOIN h USING (id)""".replace("\\\\", "\\"), cte=False)
+def c6_short_quotes(spark, d):
+    """One word, two cut words and one cut word of every benchmark text as quotations from any document."""
+    b = table(spark, d, "benchmark").select("item_id", F.expr(r"split(trim(regexp_replace(text, '\\s+', ' ')), ' ')").alias("w"))
+    w = lambda k: F.get("w", F.lit(k))
+    two = F.concat(F.substr(w(2), F.lit(2)), F.when(F.col("item_id") % 2 == 0, " ").otherwise("  "), F.substr(w(3), F.lit(1), F.lit(2)))
+    q = b.select(F.posexplode(F.array(w(1), two, F.concat(F.substr(w(4), F.lit(2), F.lit(3)), F.lit(" ")))).alias("k", "quote"), "item_id")
+    return c.found_anywhere(q.select((3 * F.col("item_id") + F.col("k")).alias("id"), "quote"), table(spark, d, "documents").select("doc_id", "text"))

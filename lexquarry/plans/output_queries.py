@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexquarry.operators import logs, outputs
+from lexquarry.operators import logs, outputs, quality
 from lexquarry.plans.adapters import table
 
 Q, SQL = {}, {}
@@ -92,3 +92,16 @@ def q_thesis_outputs(spark, d):
 SELECT path, code, detail FROM bare WHERE lang = 'es' UNION ALL SELECT path, 'orphan-concepts', string_agg(link, ', ' ORDER BY link) FROM links WHERE lang = 'es' AND 'wiki/concepts/' || link || '.md' NOT IN (FROM files) GROUP BY path""")
 def q_enrichment_outputs(spark, d):
     return outputs.enrichment(articles(spark, d).where("lang = 'es'"), library(spark, d)).drop("severity")
+
+
+@query("""SELECT doc_id::VARCHAR AS path, 'wrong-paper' AS code, '2401.' || lpad((length(text) % 100000)::VARCHAR, 5, '0') AS detail FROM documents
+WHERE doc_id % 4 < 2 AND length(text) % 100000 <> CASE WHEN doc_id % 4 = 1 THEN n_chars % 100000 + ascii(text) % 2 ELSE n_chars % 100000 END""")
+def c6_paper_identity(spark, d):
+    """Papers whose own identifier is made of their length, and what was asked for; all cite another paper first."""
+    k = F.col("doc_id")
+    number = lambda n: F.concat(F.lit("2401."), F.lpad((n % 100000).cast("string"), 5, "0"))
+    field = F.when(k % 4 < 2, F.concat(F.lit('arxiv_id: "arXiv:'), number(F.length("text")), F.lit('v2"\n'))).when(k % 4 == 2, "").otherwise("arxiv_id: none yet\n")
+    md = F.concat(F.lit("---\ntitle: see arXiv:1912.00001\n"), field, F.lit("---\nfollows arXiv:1912.00001\n"), F.coalesce("text", F.lit("")))
+    expected = F.when(k % 4 == 1, F.concat(number(F.col("n_chars") + F.ascii("text") % 2), F.lit("v1"))).otherwise(number(F.col("n_chars")))
+    x = table(spark, d, "documents").select(k.cast("string").alias("path"), md.alias("md"), F.lit(b"").alias("payload"), F.lit(None).cast("string").alias("tex_source"), F.lit(0).alias("figures_referenced"), F.lit(0).alias("figures_resolved"), expected.alias("expected_arxiv_id"))
+    return quality.conversion_gates(x).where("code = 'wrong-paper'").drop("severity")

@@ -278,6 +278,61 @@ def word_count(c: Col) -> Column:
     return F.size(F.filter(F.split(_c(c), r"\s+"), lambda w: w != ""))
 
 
+# What an article without a summary is called, the length from which a paragraph is one, how much of it is
+# kept, and what templates leave in the text that is embedded.
+NO_SUMMARY, LEAST_SUMMARY, LONGEST_SUMMARY = "Compiled wiki article.", 40, 260
+BOILERPLATE = (
+    "No explicit definition extracted from literature perspective.", "No explicit mathematical representation extracted from literature perspective.",
+    "[STUB: Awaiting synthesis]",
+)
+
+
+def plain_summary(c: Col) -> Column:
+    """A paragraph with links as their texts and without marks of emphasis and code, squeezed and cut."""
+    links = F.regexp_replace(F.regexp_replace(_c(c), r"\[([^\]]+)\]\([^)]+\)", "$1"), r"\[\[(?:[^|\]]+\|)?([^\]]+)\]\]", "$1")
+    return F.rtrim(F.substring(squeezed(F.translate(links, "*_`", "")), 1, LONGEST_SUMMARY))
+
+
+def summary(c: Col) -> Column:
+    """A body's line `**Summary**: ...`, else its first paragraph of 40 characters or more outside of code, with headings,
+    tables and lists between paragraphs, else a fixed text. One pass over the lines."""
+    said = found(c, r"(?m)^\*\*Summary\*\*:\s*(.+)$")
+    state = lambda done, now, code: F.struct(done.alias("done"), now.alias("now"), code.alias("code"))
+
+    def closed(a: Column) -> Column:
+        return _once(plain_summary(a["now"]), lambda x: F.when(F.length(x) >= LEAST_SUMMARY, x))
+
+    def step(a: Column, raw: Column) -> Column:
+        def read(line: Column) -> Column:
+            apart = (line == "") | (line == "---") | line.rlike(r"^(?:#|\||- |[0-9]+\.\s)")
+            more = F.when(a["now"] == "", line).otherwise(F.concat(a["now"], F.lit(" "), line))
+            return F.when(F.startswith(line, F.lit("```")), state(a["done"], a["now"], ~a["code"])).when(a["code"], a).when(apart, state(closed(a), F.lit(""), a["code"])).otherwise(state(a["done"], more, a["code"]))
+
+        return F.when(a["done"].isNotNull(), a).otherwise(_once(F.regexp_replace(raw, r"^\s+|\s+$", ""), read))
+
+    start = state(F.lit(None).cast("string"), F.lit(""), F.lit(False))
+    first = F.aggregate(F.split(_c(c), r"\r\n|[\r\n]", -1), start, step, lambda a: F.coalesce(a["done"], closed(a)))
+    return F.coalesce(F.when(said.isNotNull(), plain_summary(said)), first, F.lit(NO_SUMMARY))
+
+
+def embedding_text(c: Col) -> Column:
+    """What of an article is embedded: its body with links as their texts, without heading marks and boilerplate, and its
+    tags and aliases in a sentence at the end."""
+    block, x = frontmatter(c), body(c)
+    x = F.regexp_replace(F.regexp_replace(x, r"\[\[([^\]\n]*)\]\]", "$1"), r"\[([^\[\]\n]*)\]\([^()\n]*\)", "$1")
+    x = F.regexp_replace(x, r"#+\s*", "")
+    for phrase in BOILERPLATE:
+        x = F.replace(x, F.lit(phrase), F.lit(""))
+    listed = lambda name: F.coalesce(list_field(block, name), F.array_compact(F.array(F.nullif(scalar_field(block, name), F.lit("[]")))))
+
+    def context(lists: Column) -> Column:
+        one = lambda k, before: F.when(F.size(lists[k]) > 0, F.concat(F.lit(before), F.array_join(lists[k], ", "), F.lit(".")))
+        said = F.concat_ws(" ", one("tags", "Tags include "), one("aliases", "Known aliases: "))
+        return F.when(said != "", F.concat(F.lit("\n\n[Metadata Context: "), said, F.lit("]"))).otherwise("")
+
+    return F.concat(F.regexp_replace(x, r"^\s+|\s+\z", ""), _once(F.struct(listed("tags").alias("tags"), listed("aliases").alias("aliases")), context))
+
+
 def html_text(c: Col) -> Column:
     """HTML without scripts, styles and tags."""
     return F.regexp_replace(F.regexp_replace(_c(c), r"(?is)<(script|style)\b.*?</\1>", " "), "(?s)<[^>]+>", " ")

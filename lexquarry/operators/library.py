@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexquarry.functions import text as t
-from lexquarry.operators import radar
+from lexquarry.operators import radar, substrings
 
 GRAM = 3
 
@@ -44,6 +44,22 @@ def resolved_sources(refs: DataFrame, files: DataFrame) -> DataFrame:
     return refs.select("ref").distinct().join(best, "ref", "left").select("ref", F.when(F.col("b.n") == 1, F.col("b.path")).alias("path"), F.when(F.col("b.n") == 1, F.col("b.tier")).alias("tier"))
 
 
+def concept_sources(refs: DataFrame, files: DataFrame) -> DataFrame:
+    """(ref, path, name) for refs(ref): the file of files(path) that a concept's source means. Its slug and the file's
+    contain one another; raw papers come before references, then the smaller name. A reference that no file fits stands
+    for itself, one with `..` for nothing."""
+    file = files.where(F.col("path").rlike(r"^(raw/papers|wiki/references)/[^/]+\.md$") & ~F.endswith("path", F.lit("/_index.md")))
+    file = file.select("path", F.when(F.startswith("path", F.lit("raw/")), 1).otherwise(2).alias("tier"), _stem("path").alias("name")).distinct().withColumn("w", t.slug("name"))
+    r = refs.select("ref").where("ref IS NOT NULL").distinct()
+    named = r.where("NOT contains(ref, '..')").select(F.col("ref").alias("id"), t.slug("ref").alias("text"))
+    # an empty slug is contained in every other, and is no name
+    pairs = substrings.either_contains(named.where("text <> ''"), file.where("w <> ''").select("w"))
+    best = pairs.join(file, "w").groupBy("id").agg(F.min_by(F.struct("path", "name"), F.struct("tier", "name")).alias("f"))
+    found = r.join(best, F.col("ref") == F.col("id"), "left")
+    own = F.when(~F.contains("ref", F.lit("..")), F.col("ref"))
+    return found.select("ref", F.coalesce("f.path", own).alias("path"), F.coalesce("f.name", own).alias("name"))
+
+
 def found_cards(targets: DataFrame, cards: DataFrame) -> DataFrame:
     """(target, path, matches): a card by path, path below the topic, exact stem, then a unique part of a stem.
 
@@ -72,8 +88,8 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)])
 
 
-def similar_names(new: DataFrame, known: DataFrame, least: float = 0.82, contained: float = 0.65) -> DataFrame:
-    """(name, match): for new(name) the first known(name) that is alike, by the ratio or as a prefix or suffix.
+def similar_names(new: DataFrame, known: DataFrame, least: float = 0.82, contained: float = 0.65, every: bool = False) -> DataFrame:
+    """(name, match): for new(name) the first known(name) that is alike, by the ratio or as a prefix or suffix, or every one.
 
     Candidates share a pair of neighbouring letters: names alike to that degree always do.
     """
@@ -85,7 +101,7 @@ def similar_names(new: DataFrame, known: DataFrame, least: float = 0.82, contain
     d = d.where(2 * F.least(F.length("a"), F.length("b")) >= least * (F.length("a") + F.length("b")) * contained)
     inside = (F.startswith("a", "b") | F.startswith("b", "a") | F.endswith("a", "b") | F.endswith("b", "a")) & (F.least(F.length("a"), F.length("b")) >= contained * F.greatest(F.length("a"), F.length("b")))
     alike = d.withColumn("ratio", sequence_ratio("a", "b")).where((F.col("ratio") >= least) | inside)
-    return alike.groupBy("name").agg(F.min("match").alias("match"))
+    return alike.select("name", "match").distinct() if every else alike.groupBy("name").agg(F.min("match").alias("match"))
 
 
 def mapped_tags(cards: DataFrame, mapping: DataFrame) -> DataFrame:

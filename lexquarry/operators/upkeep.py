@@ -24,10 +24,10 @@ def project_findings(files: DataFrame) -> DataFrame:
     return quality.findings(p.where("not says"), "project-why", "warning", F.lit("")).unionByName(quality.findings(p.where(~good), "project-name", "warning", F.col("name")))
 
 
-def replaced_list(block: Column, name: str, values: Column) -> Column:
-    """A frontmatter block with `values` as the list of a field, quoted and one a line; a block without that list gets it at
-    its end, and a null or empty array is written as `[]`."""
-    quoted = F.transform(values, lambda v: F.regexp_extract(F.to_json(F.array(v)), r"(?s)^\[(.*)\]$", 1))
+def replaced_list(block: Column, name: str, values: Column, plain: bool = False) -> Column:
+    """A frontmatter block with `values` as the list of a field, one a line, quoted unless they are to stay plain; a block
+    without that list gets it at its end, and a null or empty array is written as `[]`."""
+    quoted = values if plain else F.transform(values, lambda v: F.regexp_extract(F.to_json(F.array(v)), r"(?s)^\[(.*)\]$", 1))
     lines = F.array_join(F.transform(quoted, lambda q: F.concat(F.lit("\n  - "), q)), "")
     new = F.concat(F.lit(f"{name}:"), F.when(F.coalesce(F.size(values), F.lit(0)) > 0, lines).otherwise(" []"))
     # a split at the first list, as a replacement would read signs of the values as groups

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexquarry.functions import text as t
+from lexquarry.operators import library as cards
 from lexquarry.operators import logs, outputs, quality
 from lexquarry.plans.adapters import table
 
@@ -105,3 +107,57 @@ def c6_paper_identity(spark, d):
     expected = F.when(k % 4 == 1, F.concat(number(F.col("n_chars") + F.ascii("text") % 2), F.lit("v1"))).otherwise(number(F.col("n_chars")))
     x = table(spark, d, "documents").select(k.cast("string").alias("path"), md.alias("md"), F.lit(b"").alias("payload"), F.lit(None).cast("string").alias("tex_source"), F.lit(0).alias("figures_referenced"), F.lit(0).alias("figures_resolved"), expected.alias("expected_arxiv_id"))
     return quality.conversion_gates(x).where("code = 'wrong-paper'").drop("severity")
+
+
+def _bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, body): the lines of documents as Markdown, of the kind that their first letters tell, some words as links."""
+    line = lambda x: (
+        F.when(x.rlike("^(An|De)"), "```").when(x.rlike("^(In|La)"), F.concat(F.lit("## "), x)).when(x.rlike("^(On|En)"), F.concat(F.lit("| "), x)).when(x.rlike("^(Of|El)"), F.concat(F.lit("3. "), x))
+        .when(x.rlike("^(Er|Es)"), "").when(x.rlike("^(Wh|Ou)"), F.concat(F.lit("- "), x)).when(x.rlike("^Ti"), F.concat(F.lit("**Summary**: "), x)).otherwise(x)
+    )
+    linked = F.regexp_replace(F.regexp_replace("text", " ([a-z]{3}er) ", " [[w/$1|$1]] "), " ([a-z]{2}ea) ", " [$1](u/$1.md) *`$1`* ")
+    return table(spark, sf_dir, "documents").select("doc_id", "source", F.array_join(F.transform(F.split(linked, "\n", -1), line), "\n").alias("body"))
+
+
+_BODIES = r"""
+t AS (SELECT doc_id, source, regexp_replace(regexp_replace(text, ' ([a-z]{3}er) ', ' [[w/\1|\1]] ', 'g'), ' ([a-z]{2}ea) ', ' [\1](u/\1.md) *`\1`* ', 'g') AS x FROM documents),
+l AS (SELECT doc_id, source, unnest(range(1, len(l) + 1)) AS i, unnest(l) AS x FROM (SELECT *, string_split(x, chr(10)) AS l FROM t)),
+m AS (SELECT doc_id, source, i, CASE WHEN regexp_matches(x, '^(An|De)') THEN '```' WHEN regexp_matches(x, '^(In|La)') THEN '## ' || x WHEN regexp_matches(x, '^(On|En)') THEN '| ' || x WHEN regexp_matches(x, '^(Of|El)') THEN '3. ' || x
+  WHEN regexp_matches(x, '^(Er|Es)') THEN '' WHEN regexp_matches(x, '^(Wh|Ou)') THEN '- ' || x WHEN starts_with(x, 'Ti') THEN '**Summary**: ' || x ELSE x END AS x FROM l)"""
+_CLEAN = r"rtrim(substr(trim(regexp_replace(translate(regexp_replace(regexp_replace({}, '\[([^\]]+)\]\([^)]+\)', '\1', 'g'), '\[\[(?:[^|\]]+\|)?([^\]]+)\]\]', '\1', 'g'), '*_`', ''), '\s+', ' ', 'g')), 1, 260))"
+
+
+@query(rf"""WITH {_BODIES},
+c AS (SELECT *, trim(x) AS line, sum(CASE WHEN starts_with(trim(x), '```') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) % 2 = 1 OR starts_with(trim(x), '```') AS code FROM m),
+g AS (SELECT *, CASE WHEN line IN ('', '---') OR regexp_matches(line, '^(#|\||- |[0-9]+\.\s)') THEN 1 ELSE 0 END AS apart, sum(CASE WHEN line IN ('', '---') OR regexp_matches(line, '^(#|\||- |[0-9]+\.\s)') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM c WHERE NOT code),
+p AS (SELECT doc_id, g, {_CLEAN.format("string_agg(line, ' ' ORDER BY i)")} AS p FROM g WHERE apart = 0 GROUP BY doc_id, g),
+s AS (SELECT doc_id, {_CLEAN.format("arg_min(x, i)[13:]")} AS s FROM m WHERE starts_with(x, '**Summary**: ') GROUP BY doc_id),
+f AS (SELECT doc_id, arg_min(p, g) AS p FROM p WHERE length(p) >= 40 GROUP BY doc_id)
+SELECT doc_id, coalesce(s, p, 'Compiled wiki article.') AS summary FROM documents LEFT JOIN s USING (doc_id) LEFT JOIN f USING (doc_id)""")
+def f_summaries(spark, d):
+    return _bodies(spark, d).select("doc_id", t.summary("body").alias("summary"))
+
+
+@query(rf"""WITH {_BODIES},
+b AS (SELECT doc_id, source, string_agg(x, chr(10) ORDER BY i) AS body FROM m GROUP BY 1, 2),
+e AS (SELECT doc_id, source, trim(regexp_replace(regexp_replace(regexp_replace(body, '\[\[(.*?)\]\]', '\1', 'g'), '\[(.*?)\]\(.*?\)', '\1', 'g'), '#+\s*', '', 'g'), chr(10) || ' ') AS x FROM b)
+SELECT doc_id, x || CASE doc_id % 4 WHEN 0 THEN chr(10) || chr(10) || '[Metadata Context: Tags include ' || source || ', x y.]' WHEN 1 THEN chr(10) || chr(10) || '[Metadata Context: Tags include ' || source || '. Known aliases: a, b.]' WHEN 2 THEN chr(10) || chr(10) || '[Metadata Context: Known aliases: ' || source || '.]' ELSE '' END AS text FROM e""")
+def f_embedding_texts(spark, d):
+    k = F.col("doc_id")
+    head = F.when(k % 4 == 0, F.concat(F.lit("tags: ["), F.col("source"), F.lit(", 'x y']\naliases: []"))).when(k % 4 == 1, F.concat(F.lit("tags: "), F.col("source"), F.lit("\naliases:\n  - a\n  - b"))).when(k % 4 == 2, F.concat(F.lit("title: t\naliases: "), F.col("source"))).otherwise("title: t")
+    whole = F.concat(F.lit("---\n"), head, F.lit("\n---\n"), F.when(k % 3 == 0, t.BOILERPLATE[2]).otherwise(""), "body")
+    return _bodies(spark, d).select("doc_id", t.embedding_text(whole).alias("text"))
+
+
+@query(r"""WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z]+')) AS w FROM benchmark),
+f AS (SELECT CASE WHEN length(w) <= 6 THEN 'raw/papers/' ELSE 'wiki/references/' END || w || '.md' AS path, w AS name, lower(w) AS slug, CASE WHEN length(w) <= 6 THEN 1 ELSE 2 END AS tier FROM w),
+r AS (SELECT DISTINCT array_to_string(regexp_extract_all(text, '[A-Za-z]+')[doc_id % 9 + 1:doc_id % 9 + 1 + doc_id % 2], ' ') AS ref FROM documents),
+p AS (SELECT ref, arg_min(path, (tier, name)) AS path, arg_min(name, (tier, name)) AS name FROM r JOIN f ON contains(replace(lower(ref), ' ', '-'), slug) OR contains(slug, replace(lower(ref), ' ', '-')) WHERE ref <> '' GROUP BY ref)
+SELECT ref, coalesce(path, ref) AS path, coalesce(name, ref) AS name FROM r LEFT JOIN p USING (ref)""")
+def j_concept_sources(spark, d):
+    """One or two words of each document as sources, the words of benchmark items as papers and references."""
+    w = table(spark, d, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("([A-Za-z]+)"), 1)).alias("w")).distinct()
+    files = w.select(F.concat(F.when(F.length("w") <= 6, "raw/papers/").otherwise("wiki/references/"), "w", F.lit(".md")).alias("path"))
+    k = F.col("doc_id")
+    refs = table(spark, d, "documents").select(F.array_join(F.slice(F.regexp_extract_all("text", F.lit("([A-Za-z]+)"), 1), (k % 9 + 1).cast("int"), (1 + k % 2).cast("int")), " ").alias("ref"))
+    return cards.concept_sources(refs, files)

@@ -9,11 +9,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from lexquarry.sources.store import Store
+
 
 def _fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     offset, decision = state.get if state.exists else (-1, None)
@@ -45,16 +47,36 @@ def windowed_counts(events: DataFrame, size: str = "1 hour", late: str = "10 min
     return d.agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("window.start").alias("start"), "event_type", "n", "total")
 
 
+def kept(stream: DataFrame, table: Store, done: Callable[[SparkSession, int], None] | None = None) -> DataStreamWriter:
+    """Merges every batch into a store: only the buckets that its keys fall into are read and written. A batch that runs
+    again gives the same rows."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        table.merge(batch)
+        if done is not None:
+            done(batch.sparkSession, number)
+
+    return stream.writeStream.foreachBatch(write)
+
+
 def merged(stream: DataFrame, path: str, keys: list[str], offset: str = "offset", done: Callable[[DataFrame], None] | None = None) -> DataStreamWriter:
-    """Keeps the last row of each key in versions of a Parquet table under `path`. A batch that runs again writes the
-    same version again, so a restart neither loses nor doubles rows."""
+    """Keeps the last row of each key in versions of a Parquet table under `path`, which suits small states: each batch
+    writes the whole table; kept() doesn't. A batch that runs again reads the version before its own and writes its own
+    again, so a restart neither loses nor doubles rows. The last two versions stay."""
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        old = spark.read.schema(batch.schema).parquet(f"{path}/{number - 1}") if number else batch.limit(0)
+        top = spark._jvm.org.apache.hadoop.fs.Path(path)
+        fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
+        names = [f.getPath().getName() for f in fs.listStatus(top)] if fs.exists(top) else []
+        whole = sorted(int(n) for n in names if n.isdigit() and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS")))
+        before = [n for n in whole if n < number]
+        old = spark.read.schema(batch.schema).parquet(f"{path}/{before[-1]}") if before else batch.limit(0)
         cols = [c for c in batch.columns if c not in keys]
         new = old.unionByName(batch).groupBy(*keys).agg(F.max_by(F.struct(*cols), offset).alias("r")).select(*keys, "r.*").select(batch.columns)
         new.write.mode("overwrite").parquet(f"{path}/{number}")
+        for n in before[:-1]:
+            fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}"), True)
         if done is not None:
             done(new)
 

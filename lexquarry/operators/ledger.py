@@ -18,6 +18,21 @@ def pending(events: DataFrame) -> DataFrame:
     return events.where("kind = 'enqueue'").join(taken, "req_id", "left_anti").select("req_id", "offset", "source_type", "source_value", "route", "retry_of")
 
 
+def runs(events: DataFrame, block: int = 10_000) -> DataFrame:
+    """(req_id, offset, run): the run that takes each enqueued request: the batch that is opened first after it, as a run
+    takes what was queued when it began and leaves what comes later to the next; null if none has been opened since.
+
+    Events are looked at in blocks of offsets; what blocks tell each other is one row a block.
+    """
+    marks = events.where("kind IN ('enqueue', 'open')").select("offset", "kind", "req_id", "batch_id", F.floor(F.col("offset") / block).alias("block"))
+    opened = F.when(F.col("kind") == "open", F.col("batch_id"))
+    own = F.first(opened, ignorenulls=True).over(Window.partitionBy("block").orderBy("offset").rowsBetween(1, Window.unboundedFollowing))
+    firsts = marks.groupBy("block").agg(F.min_by("batch_id", F.when(F.col("kind") == "open", F.col("offset"))).alias("first"))
+    later = firsts.select("block", F.first("first", ignorenulls=True).over(Window.partitionBy(F.lit(0)).orderBy("block").rowsBetween(1, Window.unboundedFollowing)).alias("later"))
+    d = marks.withColumn("own", own).where("kind = 'enqueue'").join(later, "block")
+    return d.select("req_id", "offset", F.coalesce("own", "later").alias("run"))
+
+
 def batch_items(events: DataFrame) -> DataFrame:
     """(batch_id, item_id, req_id, title, status, error, route, decision, committed_path, offset), one row an item.
 

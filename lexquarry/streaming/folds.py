@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from lexquarry.sources.store import Store
+from lexquarry.sources.store import Store, smallest
 
 
 def _fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -59,6 +59,29 @@ def kept(stream: DataFrame, table: Store, done: Callable[[SparkSession, int], No
     return stream.writeStream.foreachBatch(write)
 
 
+#: A queue's requests: which run took them is decided once.
+QUEUE = "req_id string, offset long, source_type string, source_value string, route string, run long"
+
+
+def queue_store(folder: str, buckets: int = 64) -> Store:
+    return Store(folder, QUEUE, ("req_id",), "offset", buckets, {"run": smallest})
+
+
+def run_queue(log: DataFrame, table: Store, run: Callable[[DataFrame, int], None]) -> DataStreamWriter:
+    """Runs over a queue: every micro-batch of log(offset, kind, ...) is one. What the log held when it began is queued, and
+    run(queue, number) gets all requests that no earlier run has taken; what is enqueued meanwhile, by the run itself too,
+    is in the next. Say with .trigger() when runs begin. A run that failed is given the same queue again."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        columns = [c.split()[0] for c in QUEUE.split(", ")]
+        table.merge(batch.where("kind = 'enqueue' AND req_id IS NOT NULL").withColumn("run", F.lit(None).cast("long")).select(columns))
+        queue = table.read(batch.sparkSession).where((F.col("run").isNull()) | (F.col("run") == number)).drop("run")
+        run(queue, number)
+        table.merge(queue.withColumn("run", F.lit(number).cast("long")).select(columns))
+
+    return log.writeStream.foreachBatch(write)
+
+
 def merged(stream: DataFrame, path: str, keys: list[str], offset: str = "offset", done: Callable[[DataFrame], None] | None = None) -> DataStreamWriter:
     """Keeps the last row of each key in versions of a Parquet table under `path`, which suits small states: each batch
     writes the whole table; kept() doesn't. A batch that runs again reads the version before its own and writes its own

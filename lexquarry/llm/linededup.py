@@ -26,13 +26,17 @@ _TEXT = "coalesce(text, '')"
 #: cuts[i - 1]: whether a chunk ends after line i. Lines are counted from 1; marks are numbers from their hashes.
 _MARKS = "transform(lines, l -> cast(conv(substr(md5(cast(l as binary)), 1, 8), 16, 10) as bigint))"
 _CUTS = "transform(sequence(1, size(lines)), i -> i = size(lines) or i > 1 and (marks[i - 1] + 31 * marks[i - 2]) % 64 < 32)"
-#: (start, last): from each line to the next boundary, and from each boundary to the lines before the next one.
-_CHUNKS = f"""filter(array_distinct(concat(
-    transform(sequence(1, size(lines)), i -> struct(i as start,
-        coalesce(array_min(filter(sequence(i, least(i + {MAX_LINES - 1}, size(lines))), j -> j > i and cuts[j - 1])), least(i + {MAX_LINES - 1}, size(lines))) as last)),
-    transform(sequence(1, size(lines)), j -> struct(
-        coalesce(array_max(filter(sequence(greatest(j - {MAX_LINES - 1}, 1), j), i -> i > 1 and cuts[i - 2])), greatest(j - {MAX_LINES - 1}, 1)) as start, j as last))
-)), c -> c.last - c.start >= {MIN_LINES - 1})"""
+#: For each line the last line of the chunk that begins with it: the next boundary's; and the first line of the chunk that
+#: ends with it: the one after the boundary before.
+_LASTS = f"""transform(sequence(1, size(lines)), i ->
+    coalesce(array_min(filter(sequence(i, least(i + {MAX_LINES - 1}, size(lines))), j -> j > i and cuts[j - 1])), least(i + {MAX_LINES - 1}, size(lines))))"""
+_FIRSTS = f"""transform(sequence(1, size(lines)), j ->
+    coalesce(array_max(filter(sequence(greatest(j - {MAX_LINES - 1}, 1), j), i -> i > 1 and cuts[i - 2])), greatest(j - {MAX_LINES - 1}, 1)))"""
+#: (start, last), each once: a chunk of the second kind that is also one of the first counts as that.
+_CHUNKS = f"""filter(concat(
+    transform(lasts, (e, k) -> struct(k + 1 as start, e as last)),
+    filter(transform(firsts, (s, k) -> struct(s as start, k + 1 as last)), c -> lasts[c.start - 1] <> c.last)
+), c -> c.last - c.start >= {MIN_LINES - 1})"""
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -44,7 +48,7 @@ def occurrences(docs: DataFrame) -> DataFrame:
     """(place, last, hash): the chunks of docs(doc_id, text), by place (doc_id, hash of the text, first line)."""
     d = docs.select("doc_id", F.expr(f"xxhash64({_TEXT})").alias("h"), F.expr(f"split({_TEXT}, '\n', -1)").alias("lines"))
     d = d.withColumn("marks", F.expr(_MARKS)).withColumn("hashes", F.expr("transform(lines, l -> if(l = '', 0, xxhash64(l)))"))
-    d = d.withColumn("cuts", F.expr(_CUTS)).select("doc_id", "h", "hashes", F.explode(F.expr(_CHUNKS)).alias("c"))
+    d = d.withColumn("cuts", F.expr(_CUTS)).withColumn("lasts", F.expr(_LASTS)).withColumn("firsts", F.expr(_FIRSTS)).select("doc_id", "h", "hashes", F.explode(F.expr(_CHUNKS)).alias("c"))
     d = d.withColumn("held", F.expr("slice(hashes, c.start, c.last - c.start + 1)")).where("exists(held, x -> x <> 0)")  # not all lines empty
     return d.select(F.struct("doc_id", "h", "c.start").alias("place"), "c.last", F.xxhash64("held").alias("hash"))
 

@@ -2,8 +2,8 @@
 
 The symbols of all new words of a slice lie in one flat array. In each round the keys of all neighbouring pairs are
 looked up by binary search in the vocabulary's sorted pair keys, the lowest rank in each word is merged wherever it
-stands in that word, and words without a known pair leave the array. Words seen before come from a bounded cache of
-the worker.
+stands in that word, and words without a known pair leave the array. Words of over LONG bytes are merged by a heap of
+their pairs instead. Words seen before come from a bounded cache of the worker.
 
 The vocabulary is a file in the format of the tokenizers library (byte-level, no normaliser, no added prefix space),
 named by `path`; it is read where the work runs. Strings of its special tokens in a text become those tokens.
@@ -15,9 +15,10 @@ that aren't UTF-8 decode to U+FFFD.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,9 @@ from lexquarry.llm import textbytes as tb
 
 #: Fixed value: the pattern by which byte-level vocabularies split texts into words.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-CACHED_WORDS = 250_000
+CACHED_WORDS, CACHED_IDS = 250_000, 4_000_000
+#: Words of more bytes are merged one by one: rounds over a whole long word would be as many as its different merges.
+LONG = 1_000
 _NONE = np.int32(2**31 - 1)
 
 
@@ -100,6 +103,47 @@ class Vocabulary:
         self.size = np.concatenate((self.size, size))
         self.flat = np.concatenate((self.flat, flat))
 
+    def merge_long(self, word: bytes) -> list[int]:
+        """The ids of one word: pairs wait in a heap by rank and place, and a merge puts at most two new ones there."""
+        symbol = self.first[np.frombuffer(word, np.uint8)].tolist()
+        after, before = list(range(1, len(word) + 1)), list(range(-1, len(word) - 1))
+        known = self.pairs
+        heap = [(*r, i) for i, p in enumerate(zip(symbol, symbol[1:], strict=False)) if (r := known.get(p))]
+        heapq.heapify(heap)
+        end = len(word)
+        while heap:
+            rank, merged, i = heapq.heappop(heap)
+            j = after[i]
+            # one of the two may have been merged away or changed meanwhile
+            if symbol[i] < 0 or j >= end or known.get((symbol[i], symbol[j])) != (rank, merged):
+                continue
+            symbol[i], symbol[j], after[i] = merged, -1, after[j]
+            if after[j] < end:
+                before[after[j]] = i
+                if r := known.get((merged, symbol[after[j]])):
+                    heapq.heappush(heap, (*r, i))
+            if before[i] >= 0 and (r := known.get((symbol[before[i]], merged))):
+                heapq.heappush(heap, (*r, before[i]))
+        return [s for s in symbol if s >= 0]
+
+    @cached_property
+    def pairs(self) -> dict[tuple[int, int], tuple[int, int]]:
+        """The rank and the new symbol of each known pair, for long words only."""
+        return {(int(k >> 32), int(k & 0xFFFFFFFF)): (int(r), int(self.merged[r])) for k, r in zip(self.keys, self.ranks, strict=True)}
+
+    def merged_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """merge_rounds() of short words and merge_long() of long ones, in their order."""
+        long = {k: np.array(self.merge_long(w), np.int32) for k, w in enumerate(words) if len(w) > LONG}
+        if not long:
+            return self.merge_rounds(words)
+        flat, size = self.merge_rounds([b"" if k in long else w for k, w in enumerate(words)])
+        ends, parts, at = np.cumsum(size), [], 0
+        for k, ids in long.items():
+            parts += [flat[at : ends[k]], ids]
+            at = ends[k]
+            size[k] = len(ids)
+        return np.concatenate([*parts, flat[at:]]), size
+
     def merge_rounds(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all words one after another, and how many each has."""
         size = np.array([len(w) for w in words], np.int64)
@@ -133,7 +177,7 @@ class Vocabulary:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after another, and offsets of the texts in them."""
-        if len(self.known) > CACHED_WORDS:
+        if len(self.known) > CACHED_WORDS or len(self.flat) > CACHED_IDS:
             self._forget()
         codes, many = [], []
         code = self.known.__getitem__
@@ -146,7 +190,7 @@ class Vocabulary:
                     codes.extend(map(code, self.words.findall(piece)))
             many.append(len(codes) - before)
         if self.known.new:
-            self._add(*self.merge_rounds([w.encode() for w in self.known.new]))
+            self._add(*self.merged_words([w.encode() for w in self.known.new]))
             self.known.new = []
         c = np.array(codes, np.int64)
         size = self.size[c]

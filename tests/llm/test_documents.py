@@ -4,6 +4,7 @@ import hashlib
 import json
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -336,3 +337,31 @@ def test_bpe_vocabulary_is_a_parameter(tmp_path):
     (tmp_path / "v.json").write_text(json.dumps({"model": {"vocab": vocab, "merges": ["a b", "ab ab"]}, "added_tokens": []}))
     ids, offsets = bpe.Vocabulary(str(tmp_path / "v.json")).encode(["ababab", "b"])
     assert ids[offsets[0] : offsets[1]].tolist() == [257, 256] and ids[offsets[1] :].tolist() == [vocab["b"]]
+
+
+def test_long_words_in_bpe():
+    """One word of any length, by the heap and by the library."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    library, v = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), bpe.load(bpe.default_path())
+    r = random.Random(3)
+    for n in (1001, 1500, 4000):
+        for letters in ("a", "ab", "etaoin", "\u00e9\u6f22x"):
+            text = "".join(r.choice(letters) for _ in range(n))
+            text = f"short {text} more {text[:1200]} end"
+            assert v.encode([text])[0].tolist() == library.encode(text, add_special_tokens=False).ids
+    start = time.process_time()
+    v.encode(["".join(r.choice("etaoinshrdlu") for _ in range(300_000))])
+    assert time.process_time() - start < 12
+
+
+def test_many_lines(spark):
+    """Documents of many lines take time in proportion."""
+    took = {}
+    for n in (4000, 32_000):
+        d = docs(spark, {1: "\n".join(words(1, k) + str(k % (n - 50)) for k in range(n)), 2: "a\nb"}, 1)
+        start = time.perf_counter()
+        assert {x.doc_id: x.n_lines for x in linededup.deduped(d).collect()} == {1: n, 2: 2}
+        took[n] = time.perf_counter() - start
+    assert took[32_000] < 16 * took[4000] + 10

@@ -1,12 +1,13 @@
 """Ranked retrieval over chunks(kb, chunk_id, path, collection, heading, content): BM25, nearest vectors, and their fusion.
 
 `bm25` counts its words in one pass over the texts, and only counts are shuffled. For many queries over one corpus, write
-`index(chunks)` once as a table and ask it with `bm25_from`, which reads the lists of terms and no text.
+`index(chunks)` once as a table and ask it with `bm25_from`, which reads the lists of terms and no text, or
+`write_postings` and ask `bm25_stored`, which reads the rows of the query's terms and nothing else.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexquarry.functions import text as t
@@ -60,9 +61,66 @@ def bm25_from(terms: DataFrame, query: str, collection: str | None = None, glob:
     weights = [F.log((many - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5)) for i in range(n)]
     stats = stats.select("kb", "avgdl", F.array(*(F.when(x > 0, x).otherwise(1e-6) for x in weights)).alias("idf"))
     hits = filtered(d.where(F.exists("tf", lambda x: x > 0)), collection, glob)
-    one = F.zip_with("tf", "idf", lambda f, w: w * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))))
     # a row for each kb; whether it is small enough to broadcast is left to the measured size
-    return hits.join(stats, "kb").select("kb", "chunk_id", (-F.aggregate(one, F.lit(0.0), lambda a, x: a + x)).alias("score"))
+    return _scores(hits.join(stats, "kb"))
+
+
+def _scores(hits: DataFrame) -> DataFrame:
+    """(kb, chunk_id, score) of hits(tf, idf, dl, avgdl, ...)."""
+    one = F.zip_with("tf", "idf", lambda f, w: w * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))))
+    return hits.select("kb", "chunk_id", (-F.aggregate(one, F.lit(0.0), lambda a, x: a + x)).alias("score"))
+
+
+def write_postings(chunks: DataFrame, folder: str, buckets: int = 64) -> None:
+    """The corpus by term, to be searched with bm25_stored: `terms`, a row for each chunk and distinct term with its places,
+    in files by a bucket of the term and sorted by it, and `kbs`, the number and mean length of each kb's chunks. No bucket
+    is gathered in one task: its rows are dealt out by chunk too."""
+    d = index(chunks).withColumn("dl", F.size("w"))
+    rows = d.select("kb", "chunk_id", "path", "collection", "dl", F.posexplode("w").alias("at", "term"))
+    rows = rows.groupBy("kb", "chunk_id", "path", "collection", "dl", "term").agg(F.array_sort(F.collect_list("at")).alias("places")).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
+    dealt = rows.repartition("bucket", F.pmod(F.xxhash64("chunk_id"), F.lit(8))).sortWithinPartitions("bucket", "term")
+    dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/terms")
+    d.groupBy("kb").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).withColumn("buckets", F.lit(buckets)).write.mode("overwrite").parquet(f"{folder}/kbs")
+
+
+def bm25_stored(spark: SparkSession, folder: str, query: str, collection: str | None = None, glob: str | None = None) -> DataFrame:
+    """bm25 over write_postings(...): only the files of the query's terms are opened, and in them only their row groups read."""
+    words = list(dict.fromkeys(w for w in (x.replace('"', "").lower() for x in query.split()) if w))
+    kbs = spark.read.parquet(f"{folder}/kbs")
+    first = kbs.select("buckets").first()
+    # the query's own terms, by the expression that made the stored ones
+    split = spark.range(1).select(*(t.terms(F.lit(w)).alias(f"w{i}") for i, w in enumerate(words))).first() if words else ()
+    phrases = [list(p) for p in split]
+    asked = sorted({x for p in phrases for x in p})
+    stored = spark.read.parquet(f"{folder}/terms")
+    if not asked or first is None:
+        return stored.select("kb", "chunk_id", F.lit(0.0).alias("score")).where("false")
+    bucket = [b for (b,) in spark.createDataFrame([(x,) for x in asked], "term string").select(F.pmod(F.xxhash64("term"), F.lit(first["buckets"])).cast("int")).distinct().collect()]
+    d = stored.where(F.col("bucket").isin(bucket) & F.col("term").isin(asked))
+    # a chunk's places of each asked term: as many as the query has terms, in one row
+    d = d.groupBy("kb", "chunk_id", "dl", "path", "collection").agg(F.map_from_entries(F.collect_list(F.struct("term", "places"))).alias("at"))
+    tf = F.array(*(_stands([F.coalesce(F.try_element_at("at", F.lit(x)), F.array().cast("array<int>")) for x in p]) for p in phrases))
+    d = d.select("kb", "chunk_id", "dl", "path", "collection", F.explode(F.array(tf)).alias("tf")).where(F.exists("tf", lambda x: x > 0))
+    n, many = len(phrases), F.col("n")
+    df = d.groupBy("kb").agg(*(F.count_if(F.col("tf")[i] > 0).alias(f"df{i}") for i in range(n)))
+    weights = [F.log((many - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5)) for i in range(n)]
+    stats = df.join(kbs, "kb").select("kb", "avgdl", F.array(*(F.when(x > 0, x).otherwise(1e-6) for x in weights)).alias("idf"))
+    return _scores(filtered(d, collection, glob).join(stats, "kb"))
+
+
+def _stands(places: list[Column]) -> Column:
+    """How often terms stand one after another, given the places of each; of overlapping places the first counts."""
+    if not places:
+        return F.lit(0)
+    together = places[0]
+    back = lambda p, k: F.transform(p, lambda x: x - k)
+    for k, p in enumerate(places[1:], 1):
+        together = F.array_intersect(together, back(p, k))
+    if len(places) == 1:
+        return F.size(together)
+    state = lambda n, end: F.struct(n.alias("n"), end.alias("end"))
+    step = lambda a, x: F.when(x >= a["end"], state(a["n"] + 1, x + len(places))).otherwise(a)
+    return F.aggregate(F.array_sort(together), state(F.lit(0), F.lit(0)), step, lambda a: a["n"])
 
 
 def _count(joined: Column, phrase: Column) -> Column:

@@ -2,15 +2,24 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexquarry.functions import text as t
 from lexquarry.operators import graph
+from lexquarry.sources import tables
+
+
+#: Tables whose texts are work for many tasks however few bytes they have.
+TEXTS = ("documents", "pages")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = tables.table(spark, sf_dir, name)
+    return tables.spread(rows) if name in TEXTS else rows
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,3 +73,11 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     source = F.when(F.col("o_orderpriority").startswith("1"), "arxiv-new:cs").when(F.col("o_orderpriority").startswith("2"), "arxiv-new:math").otherwise("s2-recommendation")
     return o.select(F.concat(F.lit("c"), (F.col("o_orderkey") % 5000).cast("string")).alias("id"), F.concat(F.lit("x"), F.col("o_custkey").cast("string")).alias("arxiv_id"), F.lit(None).cast("string").alias("doi"), F.col("o_orderstatus").alias("title"), F.year("o_orderdate").alias("year"), F.lit("").alias("abstract"), F.lit("").alias("url"), source.alias("source"), F.when(F.col("o_orderkey") % 7 != 0, F.round(F.col("o_totalprice") / 1000000, 4)).alias("score"), F.when(source == "s2-recommendation", 0).otherwise(1).alias("source_ord"), F.col("o_orderkey").alias("ord"))
+
+
+def folder(spark: SparkSession) -> str:
+    """A new folder where executors share one; in local mode without one, a temporary folder."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{shared or tempfile.mkdtemp()}/store-{uuid.uuid4().hex}"

@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexquarry.operators import ledger, repair
-from lexquarry.plans.adapters import table
+from lexquarry.plans.adapters import folder, table
 from lexquarry.sources import store
 
 Q, SQL = {}, {}
@@ -51,19 +48,11 @@ def q_completed(spark, d):
     return repair.completed(_articles(spark, d), "2024-12-31").drop("added")
 
 
-def _folder(spark: SparkSession) -> str:
-    """A new folder where executors share one; in local mode without one, a temporary folder."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return f"{shared or tempfile.mkdtemp()}/store-{uuid.uuid4().hex}"
-
-
 @query("""SELECT user_id, event_type, max(event_id) AS event_id, arg_max(props, event_id) AS props, arg_min(value, event_id) AS value, max(ts) AS ts FROM events GROUP BY user_id, event_type""")
 def k_merged_store(spark, d):
     """Events merged in three batches into the last properties, first value and latest time of each user and kind."""
     e = table(spark, d, "events").select("user_id", "event_type", "event_id", "props", "value", "ts")
-    s = store.Store(_folder(spark), "user_id long, event_type string, event_id long, props string, value double, ts timestamp", ("user_id", "event_type"), "event_id", 8, {"value": store.first, "ts": store.largest})
+    s = store.Store(folder(spark), "user_id long, event_type string, event_id long, props string, value double, ts timestamp", ("user_id", "event_type"), "event_id", 8, {"value": store.first, "ts": store.largest})
     cuts = e.selectExpr("max(event_id) div 3").first()[0] or 0
     for k in range(3):
         s.merge(e.where((F.col("event_id") > k * cuts - (k == 0)) & ((F.col("event_id") <= (k + 1) * cuts) | F.lit(k == 2))))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lexquarry.functions import text as t
 from lexquarry.operators import chunking, retrieval, similarity
 from lexquarry.operators import stats as st
-from lexquarry.plans.adapters import chunks, table, vectors
+from lexquarry.plans.adapters import chunks, folder, table, vectors
 
 QUERY = "the tion apache"
 _TERMS = ("the", "tion", "apache")
@@ -54,6 +54,15 @@ def c1_bm25_topk(spark, d):
     return hits.select("kb", "chunk_id", F.round("score", 4).alias("score"))
 
 
+@query(_BM25 + "SELECT kb, chunk_id, round(score, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY kb ORDER BY score, chunk_id) AS r FROM bm) WHERE r <= 20")
+def c1_bm25_stored(spark, d):
+    """The same search over stored postings."""
+    at = folder(spark)
+    retrieval.write_postings(chunks(spark, d), at)
+    hits = retrieval.ranked(retrieval.bm25_stored(spark, at, QUERY), "score", 20)
+    return hits.select("kb", "chunk_id", F.round("score", 4).alias("score"))
+
+
 @query(_BM25 + "SELECT kb, chunk_id, round(score, 4) AS score FROM bm WHERE collection = 'src3' AND path GLOB 'raw/src3/*1*.md'")
 def c1_bm25_filtered(spark, d):
     return retrieval.bm25(chunks(spark, d), QUERY, "src3", "raw/src3/*1*.md").select("kb", "chunk_id", F.round("score", 4).alias("score"))

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from lexquarry.plans import graph_queries, ledger_queries, library_queries, listing_queries, output_queries, record_queries, repair_queries, retrieval_queries, rewriting_queries, rule_queries, structure_queries, upkeep_queries
+from lexquarry.plans import evidence_queries, graph_queries, ledger_queries, library_queries, listing_queries, output_queries, record_queries, repair_queries, retrieval_queries, rewriting_queries, rule_queries, structure_queries, upkeep_queries
 
-_MODULES = (retrieval_queries, graph_queries, ledger_queries, library_queries, rule_queries, record_queries, upkeep_queries, structure_queries, rewriting_queries, output_queries, repair_queries, listing_queries)
+_MODULES = (retrieval_queries, graph_queries, ledger_queries, library_queries, rule_queries, record_queries, upkeep_queries, structure_queries, rewriting_queries, output_queries, repair_queries, listing_queries, evidence_queries)
 
 
 def queries() -> dict[str, Callable]:

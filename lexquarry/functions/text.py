@@ -20,14 +20,11 @@ LEGACY_ARCHIVES = (
 _SERIAL = r"\d{4}\.\d{4,5}"
 _OLD_SERIAL = r"(?i:" + "|".join(LEGACY_ARCHIVES) + r")(?:\.[a-zA-Z]{2})?/\d{7}"
 _ARXIV = f"({_SERIAL}|{_OLD_SERIAL})"
-_END = r"(?:v\d+)?(?!\w)"
-# what may stand before an identifier to say that it is one
-ARXIV_LABELS = ("arxiv", "abs", "pdf", "e-print")
-ARXIV_BARE = r"(?<!\w)" + _ARXIV + _END
-ARXIV_LABELLED = "(?i)(?:" + "|".join(ARXIV_LABELS) + r")[\s.:/]*" + _ARXIV
-# the DOI handbook: directory indicator 10, a registrant, a slash and any printable suffix; quotes, angle brackets and
-# commas end it here, as they surround DOIs in running text more often than they stand in them
-DOI = r"(?U)(?<!\w)10\.[0-9]{4,9}/[\p{Graph}&&[^\"'<>,]]+"
+# What stands before an identifier to say that it is one, whatever dots, colons, slashes and blanks follow,
+# and the punctuation that ends a sentence or a bracket rather than a DOI.
+ARXIV_LABELS = ("abs", "arxiv", "e-print", "pdf")
+AFTER_DOI = ".,;)]}"
+# Fixed value: the public syntax of wikilinks.
 WIKILINK = r"\[\[([^\]|]+)(?:\|[^\]]+)?\]\]"
 MARKDOWN_LINK = r"\]\((?:<([^>\n]+)>|([^)\n]+))\)"
 # CommonMark's inline image: a destination in angle brackets or without white space; what follows it, a title, is not needed
@@ -135,21 +132,46 @@ def namespaced(prefix: Col, c: Col, most: int = 110) -> Column:
     return F.when(F.startswith(F.lower(name), F.concat(F.lower(p), F.lit("-"))), F.substring(name, 1, most)).when(room < 1, F.concat(F.substr(p, F.lit(1), F.lit(most) - F.length(ext)), ext)).otherwise(F.concat(p, F.lit("-"), tail, ext))
 
 
-def arxiv_id(c: Col) -> Column:
-    """The first identifier, canonical and without version: labelled forms first, then bare ones; null if none."""
+def _canonical(raw: Column) -> Column:
+    """An identifier with its archive in small and its subject class in capital letters."""
+    archive, serial = F.split_part(raw, F.lit("/"), F.lit(1)), F.split_part(raw, F.lit("/"), F.lit(2))
+    base, subject = F.split_part(archive, F.lit("."), F.lit(1)), F.split_part(archive, F.lit("."), F.lit(2))
+    old = F.concat(F.lower(base), F.when(subject != "", F.concat(F.lit("."), F.upper(subject))).otherwise(""), F.lit("/"), serial)
+    return F.when(raw.contains("/"), old).otherwise(raw)
+
+
+def _identifiers(x: Column) -> Column:
+    """What has an identifier's form in a text, as structs of `id`, whether it is `labelled`, and whether it is `bare`: no
+    letter or digit touches it but those of a version. The forms are found first and judged by what stands around them."""
+
+    def judged(parts: Column) -> Column:
+        def one(found: Column, k: Column) -> Column:
+            before, after = F.get(parts["around"], k), F.get(parts["around"], k + 1)
+            said = F.rtrim(F.lower(F.regexp_replace(F.right(before, F.lit(40)), r"[\s.:/]+$", "")))
+            labelled = F.lit(False)
+            for label in ARXIV_LABELS:
+                labelled |= F.endswith(said, F.lit(label))
+            # two forms that touch are neither's end nor beginning
+            apart = ~before.rlike(r"\w$") & ((k == 0) | (before != "")) & ((after != "") | (k == F.size(parts["found"]) - 1))
+            return F.struct(found.alias("id"), labelled.alias("labelled"), (apart & after.rlike(r"^(?:v[0-9]+)?(?:\W|$)")).alias("bare"))
+
+        return F.transform(parts["found"], one)
 
-    def canonical(raw: Column) -> Column:
-        archive, serial = F.split_part(raw, F.lit("/"), F.lit(1)), F.split_part(raw, F.lit("/"), F.lit(2))
-        base, subject = F.split_part(archive, F.lit("."), F.lit(1)), F.split_part(archive, F.lit("."), F.lit(2))
-        old = F.concat(F.lower(base), F.when(subject != "", F.concat(F.lit("."), F.upper(subject))).otherwise(""), F.lit("/"), serial)
-        return F.when(raw.contains("/"), old).otherwise(raw)
+    whole = _once(F.struct(F.regexp_extract_all(x, F.lit(_ARXIV), 1).alias("found"), F.split(x, _ARXIV, -1).alias("around")), judged)
+    return F.when(x.rlike(r"[0-9]{4}\.[0-9]{4}|/[0-9]{7}"), whole)
 
-    return _once(_c(c), lambda x: _once(F.coalesce(found(x, ARXIV_LABELLED), found(x, ARXIV_BARE)), canonical))
+
+def arxiv_id(c: Col) -> Column:
+    """The first identifier, canonical and without version: labelled ones first, then bare ones; null if none."""
+    first = lambda found, kind: F.get(F.filter(found, lambda x: x[kind]), F.lit(0))["id"]
+    return _once(_once(_c(c), _identifiers), lambda found: _canonical(F.coalesce(first(found, "labelled"), first(found, "bare"))))
 
 
 def arxiv_ids(c: Col) -> Column:
-    """Every identifier in a text, as written, without versions."""
-    return F.array_distinct(F.regexp_extract_all(_c(c), F.lit(ARXIV_BARE), 1))
+    """Every bare identifier in a text, as written, without versions."""
+    found = _once(_c(c), _identifiers)
+    ids = F.transform(F.filter(found, lambda x: x["bare"]), lambda x: x["id"])
+    return F.array_distinct(F.coalesce(ids, F.when(_c(c).isNotNull(), F.array().cast("array<string>"))))
 
 
 def is_legacy_arxiv(c: Col) -> Column:
@@ -161,8 +183,21 @@ def abs_url(c: Col) -> Column:
 
 
 def doi(c: Col) -> Column:
-    """The first DOI, lower case, without trailing punctuation."""
-    return F.lower(F.rtrim(found(c, DOI, 0), F.lit(".,;)]}")))
+    """The first DOI, lower case, without trailing punctuation. A text is cut at white space, quotation marks, angle brackets
+    and commas; of a piece's parts between slashes one must end in a prefix, the directory indicator 10 and a registrant's
+    number, and what follows it is the suffix."""
+
+    def read(piece: Column) -> Column:
+        def at(parts: Column) -> Column:
+            place = F.array_position(F.transform(parts, lambda p: p.rlike(r"(?U)(?<!\w)10\.[0-9]{4,9}$")), F.lit(True)).cast("int")
+            suffix = F.array_join(F.slice(parts, place + 1, F.size(parts)), "/")
+            return F.when((place > 0) & (suffix != ""), F.concat_ws("/", F.regexp_extract(F.get(parts, place - 1), r"(10\.[0-9]+)$", 1), suffix))
+
+        return _once(F.split(piece, "/"), at)
+
+    pieces = F.filter(F.split(_c(c), r"(?U)[\s\"'<>,]+"), lambda p: p.contains("10."))
+    first = F.get(F.filter(F.transform(pieces, read), lambda x: x.isNotNull()), F.lit(0))
+    return F.when(_c(c).contains("10."), F.lower(F.rtrim(first, F.lit(AFTER_DOI))))
 
 
 def arxiv_in_doi(c: Col) -> Column:

@@ -17,8 +17,6 @@ TEX_COMMANDS = (
     "begin", "end", "cite", "ref", "label", "newcommand", "renewcommand", "usepackage", "documentclass", "includegraphics",
     "bibliography", "footnote", "textbf", "textit",
 )
-# a command and its argument; those of the cite family go on with letters
-LEFTOVER_TEX = r"\\(?:" + "|".join(c + "[a-z]*" if c == "cite" else c for c in TEX_COMMANDS) + r")\s*[\[{]"
 REQUIRED = {
     "raw": ("title", "source", "type", "ingested"),
     "wiki": ("title", "category", "created", "updated", "tags", "summary"),
@@ -134,12 +132,18 @@ def similar_tags(tags: DataFrame, groups: list[list[str]]) -> DataFrame:
     return d.select(F.lit("").alias("path"), F.lit("duplicate-tags").alias("code"), F.lit("warning").alias("severity"), F.array_join("t", ", ").alias("detail"))
 
 
+def leftover_commands(text: Column) -> Column:
+    """How many commands with an argument are among TEX_COMMANDS, or of the cite family."""
+    names = F.regexp_extract_all(text, F.lit(r"\\([a-zA-Z]+)\s*[\[{]"), 1)
+    return F.size(F.filter(names, lambda n: n.isin(*TEX_COMMANDS) | n.rlike("^cite[a-z]*$")))
+
+
 def conversion_gates(conversions: DataFrame) -> DataFrame:
     """Checks of converted papers in a fixed order: conversions(path, md, payload, tex_source, figures_referenced,
     figures_resolved, expected_arxiv_id)."""
     md, text = F.coalesce("md", F.lit("")), t.body(F.coalesce("md", F.lit("")))
     words = t.word_count(text)
-    leftover = F.regexp_count(t.prose(text), F.lit(LEFTOVER_TEX))
+    leftover = F.when(F.contains(text, F.lit("\\")), leftover_commands(t.prose(text))).otherwise(0)
     kinds = F.filter(F.transform(t.image_targets(md), lambda x: t.image_kind(x)), lambda k: ~k.isin("portable", "external"))
     # the paper's own field; what its text cites says nothing
     claimed = t.arxiv_id(t.scalar_field(t.frontmatter(md), "arxiv_id"))

@@ -6,11 +6,9 @@ line that begins with `l.` and a number, if no other error stands before it.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexquarry.functions import text as t
-
 #: Lines a block: what a log's blocks have to hand on to each other is one row each.
 BLOCK = 10_000
 
@@ -42,7 +40,7 @@ def records(lines: DataFrame, block: int = BLOCK) -> DataFrame:
     return d.select("path", F.col("error.line").alias("ord"), F.trim(F.substr("error.text", F.lit(3))).alias("error"), F.regexp_extract("text", place, 1).cast("long").alias("line"), context.alias("context"))
 
 
-def confidence(error: F.Column) -> F.Column:
+def confidence(error: Column) -> Column:
     """likely-macro for a command that the compiler doesn't know, which may only lack its package; otherwise certain."""
     return F.when(F.contains(F.lower(error), F.lit("undefined control sequence")), "likely-macro").otherwise("certain")
 

@@ -98,10 +98,22 @@ def c1_fused_search(spark, d):
     return retrieval.fused(lex, sem, 10).select("kb", "chunk_id", "score", *(F.col(c).cast("long").alias(c) for c in ("bm25_rank", "vector_rank")))
 
 
-@query("")
+_SEARCH = (
+    _FUSED[: _FUSED.index("sem AS (")]
+    + """near AS (SELECT kb, chunk_id, distance FROM knn JOIN chunks USING (kb, chunk_id) WHERE r <= 30),
+sem AS (SELECT *, row_number() OVER (PARTITION BY kb ORDER BY distance, chunk_id) AS vr FROM near),
+best AS (SELECT kb, chunk_id, score, br AS bm25_rank, vr AS vector_rank, distance FROM (SELECT kb, chunk_id, br, vr, distance, round(coalesce(1.0::DOUBLE / (60 + br), 0) + coalesce(1.0::DOUBLE / (60 + vr), 0), 5) AS score FROM lex FULL JOIN sem USING (kb, chunk_id))
+  ORDER BY score DESC, kb, br NULLS LAST, vr NULLS LAST, chunk_id LIMIT 10)
+SELECT kb, chunk_id, path, collection, '' AS heading, substr(trim(regexp_replace(content, '\\s+', ' ', 'g')), 1, 300) AS snippet, score, bm25_rank, vector_rank, round(distance, 4) AS distance,
+  CASE WHEN distance <= 0.7 THEN 'strong' WHEN distance <= 0.88 THEN 'related' WHEN distance IS NOT NULL THEN 'weak' END AS closeness FROM best JOIN chunks USING (kb, chunk_id)"""
+)
+
+
+@query(_SEARCH)
 def c1_search(spark, d):
     """The whole search with snippets: filters, both legs, fusion."""
-    return retrieval.search(_federated(spark, d), QUERY, vectors(spark, d), _query_vector(spark, d), 10)
+    found = retrieval.search(_federated(spark, d), QUERY, vectors(spark, d), _query_vector(spark, d), 10)
+    return found.withColumns({"distance": F.round("distance", 4)} | {c: F.col(c).cast("long") for c in ("bm25_rank", "vector_rank")})
 
 
 @query(r"SELECT path, i AS line, text FROM (SELECT 'raw/' || source || '/' || doc_id || '.md' AS path, unnest(string_split(text, chr(10))) AS text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents) WHERE regexp_matches(text, '(?i)licen[sc]ed under') ORDER BY path, i LIMIT 200")
@@ -123,7 +135,13 @@ def c1_heading_chunks(spark, d):
     return out.select("path", "heading", F.col("start_line").cast("long").alias("start_line"), F.col("end_line").cast("long").alias("end_line"), F.md5("content").alias("content"))
 
 
-@query("")
+@query(r"""WITH RECURSIVE x AS (SELECT doc_id, string_split(replace(text, chr(10), chr(10) || chr(10)), chr(10)) AS l FROM documents),
+r AS (SELECT doc_id, len(l) AS n, unnest(range(1, len(l) + 1)) AS i, unnest(l) AS line FROM x),
+p AS (SELECT *, sum(regexp_matches(line, '^\s*```')::INT) OVER (PARTITION BY doc_id ORDER BY i) % 2 = 0 AS outside FROM r),
+b AS MATERIALIZED (SELECT doc_id, any_value(n) AS n, coalesce(list(i ORDER BY i) FILTER (WHERE outside AND trim(line) = '' AND i < n), []) AS b FROM p GROUP BY 1),
+c(doc_id, k, cut) AS (SELECT doc_id, 0, 0::BIGINT FROM b UNION ALL SELECT c.doc_id, k + 1, list_min(list_filter(b.b, lambda v: v - cut >= 10)) FROM c JOIN b ON b.doc_id = c.doc_id WHERE len(list_filter(b.b, lambda v: v - cut >= 10)) > 0),
+e AS (SELECT c.doc_id, k + 1 AS chunk, cut + 1 AS s, coalesce(lead(cut) OVER (PARTITION BY c.doc_id ORDER BY k), n) AS e FROM c JOIN b ON b.doc_id = c.doc_id)
+SELECT doc_id::VARCHAR AS path, chunk, s AS start_line, e AS end_line, md5(array_to_string(l[s:e], chr(10))) AS content FROM e JOIN x USING (doc_id)""")
 def c1_window_chunks(spark, d):
     p = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), F.regexp_replace("text", "\n", "\n\n").alias("text"))
     return chunking.window_chunks(p, 10).select("path", "chunk", "start_line", "end_line", F.md5("content").alias("content"))

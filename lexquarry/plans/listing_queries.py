@@ -62,7 +62,9 @@ def _registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, s = table(spark, sf_dir, "customer"), F.col("c_mktsegment")
     slug = F.lower(F.replace("c_name", F.lit("#"), F.lit("-")))
     path = F.when(s == "BUILDING", "").when(s == "MACHINERY", F.concat(F.lit("<HUB>/m/"), slug)).when(s == "HOUSEHOLD", F.concat(F.lit("/abs dir/"), slug)).when(s == "FURNITURE", F.concat(F.lit("topics/.archive/"), slug)).otherwise("HUB")
-    return c.select(slug.alias("slug"), path.alias("path"), F.when(F.col("c_nationkey") > 12, "archived").otherwise("active").alias("status"), F.when(F.col("c_acctbal") > 0, F.concat("c_name", F.lit(" | "), s)).alias("title"), F.concat(F.lit("  owes  "), F.round("c_acctbal", 1).cast("string")).alias("description"))
+    # rounded as doubles are, so that a small debt is one of -0.0
+    owed = F.round(F.abs("c_acctbal") * 10) / 10 * F.when(F.col("c_acctbal") < 0, -1.0).otherwise(1.0)
+    return c.select(slug.alias("slug"), path.alias("path"), F.when(F.col("c_nationkey") > 12, "archived").otherwise("active").alias("status"), F.when(F.col("c_acctbal") > 0, F.concat("c_name", F.lit(" | "), s)).alias("title"), F.concat(F.lit("  owes  "), owed.cast("string")).alias("description"))
 
 
 _REGISTRY = """r AS (SELECT lower(replace(c_name, '#', '-')) AS slug, CASE c_mktsegment WHEN 'BUILDING' THEN '' WHEN 'MACHINERY' THEN '<HUB>/m/' || lower(replace(c_name, '#', '-')) WHEN 'HOUSEHOLD' THEN '/abs dir/' || lower(replace(c_name, '#', '-')) WHEN 'FURNITURE' THEN 'topics/.archive/' || lower(replace(c_name, '#', '-')) ELSE 'HUB' END AS path,

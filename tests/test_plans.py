@@ -22,3 +22,9 @@ def test_html_titles_as_they_stand(spark, tmp_path):
     titles = {1: "<title>a &quot;b&quot;  &amp; c</title>", 2: "<title>[x] y</title>", 3: "<p>", 4: None}
     got = rows(spark, tmp_path, "f_html", pages=(list(titles.items()), "page_id long, html string"))
     assert {r[0]: r[2] for r in got} == {1: "a &quot;b&quot; & c", 2: "[x] y", 3: "", 4: None}
+
+
+def test_hub_page_of_small_debts(spark, tmp_path):
+    customers = [(k, f"Customer#{k}", 1, x, "BUILDING") for k, x in enumerate((-0.04, 0.04, -0.05, 0.25, -1234.35, 0.0))]
+    got = rows(spark, tmp_path, "k_hub_page", customer=(customers, "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string"))
+    assert [r[2].split(" owes ")[1] for r in sorted(got) if " owes " in r[2]] == ["-0.0 |", "0.0 |", "-0.1 |", "0.3 |", "-1234.4 |", "0.0 |"]

@@ -1,5 +1,6 @@
 """Queries on small tables of rows that the test tables lack."""
 
+import datetime
 import math
 
 from lexquarry import plans
@@ -28,3 +29,10 @@ def test_hub_page_of_small_debts(spark, tmp_path):
     customers = [(k, f"Customer#{k}", 1, x, "BUILDING") for k, x in enumerate((-0.04, 0.04, -0.05, 0.25, -1234.35, 0.0))]
     got = rows(spark, tmp_path, "k_hub_page", customer=(customers, "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string"))
     assert [r[2].split(" owes ")[1] for r in sorted(got) if " owes " in r[2]] == ["-0.0 |", "0.0 |", "-0.1 |", "0.3 |", "-1234.4 |", "0.0 |"]
+
+
+def test_library_items_of_repeated_lines(spark, tmp_path):
+    orders = [(k, datetime.datetime(2024, 1, 1)) for k in range(40)]
+    lines = [(k, part, line) for line, part in ((1, 5), (7, 6), (7, 9), (7, 4), (4, 2), (4, 1)) for k in range(40)]
+    got = rows(spark, tmp_path, "s_library_items", orders=(orders, "o_orderkey long, o_orderdate timestamp"), lineitem=(lines, "l_orderkey long, l_partkey long, l_linenumber int"))
+    assert {r[2:] for r in got} == {(None, "v6", "v2")} and len(got) == 30

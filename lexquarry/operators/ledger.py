@@ -26,9 +26,11 @@ def runs(events: DataFrame, block: int = 10_000) -> DataFrame:
     """
     marks = events.where("kind IN ('enqueue', 'open')").select("offset", "kind", "req_id", "batch_id", F.floor(F.col("offset") / block).alias("block"))
     opened = F.when(F.col("kind") == "open", F.col("batch_id"))
-    own = F.first(opened, ignorenulls=True).over(Window.partitionBy("block").orderBy("offset").rowsBetween(1, Window.unboundedFollowing))
+    # backwards, as a frame that grows is added to, while one that shrinks is gone through again for each row
+    before = lambda w, by: w.orderBy(F.desc(by)).rowsBetween(Window.unboundedPreceding, -1)
+    own = F.last(opened, ignorenulls=True).over(before(Window.partitionBy("block"), "offset"))
     firsts = marks.groupBy("block").agg(F.min_by("batch_id", F.when(F.col("kind") == "open", F.col("offset"))).alias("first"))
-    later = firsts.select("block", F.first("first", ignorenulls=True).over(Window.partitionBy(F.lit(0)).orderBy("block").rowsBetween(1, Window.unboundedFollowing)).alias("later"))
+    later = firsts.select("block", F.last("first", ignorenulls=True).over(before(Window.partitionBy(F.lit(0)), "block")).alias("later"))
     d = marks.withColumn("own", own).where("kind = 'enqueue'").join(later, "block")
     return d.select("req_id", "offset", F.coalesce("own", "later").alias("run"))
 

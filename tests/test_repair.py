@@ -129,3 +129,11 @@ def test_runs_of_a_queue(spark, tmp_path):
         for x in ledger.runs(events, block).collect():
             got.setdefault(int(x.run[1:]), []).append(x.req_id)
         assert {k: sorted(v) for k, v in got.items()} == seen, block
+
+
+def test_runs_frames_only_grow(spark):
+    events = spark.createDataFrame([(1, "enqueue", "r1", None), (2, "open", None, "b2"), (3, "enqueue", "r3", None)], "offset long, kind string, req_id string, batch_id string")
+    d = ledger.runs(events, 2)
+    assert {(r.req_id, r.run) for r in d.collect()} == {("r1", "b2"), ("r3", None)}
+    # a frame up to the end is gone through again for each row
+    assert "unboundedfollowing" not in d._jdf.queryExecution().optimizedPlan().toString().lower()

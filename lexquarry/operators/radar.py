@@ -68,6 +68,19 @@ def status(seen: DataFrame, pending: DataFrame) -> DataFrame:
     return seen.agg(F.countDistinct("id").alias("seen"), F.max("first_seen").alias("last_harvest")).crossJoin(pending.agg(F.count("*").alias("pending")))
 
 
+def group_neighbours(anchors: DataFrame, papers: DataFrame, most: int = 20) -> DataFrame:
+    """(anchor, paper_id, year, score): the `most` best papers near each anchor, ties by the smaller id, where those of its
+    group are near it and itself isn't. anchors(anchor, group), papers(paper_id, group, year, score), a row each.
+
+    A group's papers are ranked once for all of its anchors: those behind the first most + 1 are nobody's, as an anchor
+    leaves out one of them at most.
+    """
+    best = papers.withColumn("r", F.row_number().over(Window.partitionBy("group").orderBy(F.desc("score"), "paper_id"))).where(F.col("r") <= most + 1)
+    own = best.select(F.col("paper_id").alias("anchor"), "group", F.col("r").alias("own"))
+    d = anchors.join(own, ["anchor", "group"], "left").join(best, "group").where("anchor <> paper_id")
+    return d.where(F.col("r") <= most + F.when(F.col("own").isNull(), 0).otherwise(1)).select("anchor", "paper_id", "year", "score")
+
+
 def citation_gap(neighbours: DataFrame, refs: DataFrame, citations: DataFrame, since_year: int, least_shared: int = 3, per_anchor: int = 20, titles: int = 5) -> DataFrame:
     """(anchor, paper_id, shared, shared_titles): papers near an anchor that share references with it but don't cite it.
 

@@ -115,7 +115,9 @@ def r_shared_references(spark, d):
     """Documents as papers that refer to their first words, near the conversations of like numbers."""
     docs = table(spark, d, "documents")
     refs = docs.select(F.col("doc_id").alias("paper_id"), F.explode(F.slice(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), 1), 1, 12)).alias("ref_id")).withColumn("ref_title", F.col("ref_id"))
-    a = table(spark, d, "conversations").where("turn = 0").select(F.col("conv_id").alias("anchor"), (F.col("conv_id") % 50).alias("k"))
-    near = docs.select(F.col("doc_id").alias("paper_id"), (F.col("doc_id") % 50).alias("k"), F.col("n_chars").alias("score"), F.lit(2024).alias("year")).join(a, "k").where("anchor <> paper_id").drop("k")
+    a = table(spark, d, "conversations").where("turn = 0").select(F.col("conv_id").alias("anchor"), (F.col("conv_id") % 50).alias("group"))
+    papers = docs.select(F.col("doc_id").alias("paper_id"), (F.col("doc_id") % 50).alias("group"), F.col("n_chars").alias("score"), F.lit(2024).alias("year"))
+    # no citation and no year leaves any of them out below, so no more are needed
+    near = radar.group_neighbours(a, papers, 20)
     none = spark.createDataFrame([], "cited_id long, citing_id long")
     return radar.citation_gap(near, refs, none, 2020).drop("shared_titles")

@@ -7,6 +7,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +21,8 @@ from lexquarry.functions import vectors as v
 K1, B = 1.2, 0.75
 RRF = 60
 STRONG, RELATED = 0.70, 0.88
+#: Words whose places are listed at once.
+WORDS = 1_000_000
 
 
 def postings(chunks: DataFrame) -> DataFrame:
@@ -73,16 +80,42 @@ def _scores(hits: DataFrame) -> DataFrame:
 
 def write_postings(chunks: DataFrame, folder: str, buckets: int = 64) -> None:
     """The corpus by term, to be searched with bm25_stored: `terms`, a row for each chunk and distinct term with its places,
-    in files by a bucket of the term and sorted by it, and `kbs`, the number and mean length of each kb's chunks. No bucket
-    is gathered in one task: its rows are dealt out by chunk too."""
-    d = index(chunks).withColumn("dl", F.size("w"))
-    rows = d.select("kb", "chunk_id", "path", "collection", "dl", F.posexplode("w").alias("at", "term"))
-    rows = rows.groupBy("kb", "chunk_id", "path", "collection", "dl", "term").agg(F.array_sort(F.collect_list("at")).alias("places")).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
+    in files by a bucket of the term and sorted by it, `chunks` with their paths and collections, and `kbs`, the number and
+    mean length of each kb's chunks. No bucket is gathered in one task: its rows are dealt out by chunk too.
+
+    A chunk's places are listed where it is read, so that a term's row is shuffled once, and no single word is.
+    """
+    d = index(chunks).withColumn("dl", F.size("w")).withColumn("where", F.xxhash64("path", "collection"))
+    d.select("kb", "chunk_id", "where", "path", "collection").write.mode("overwrite").parquet(f"{folder}/chunks")
+    kind = lambda c: d.schema[c].dataType.simpleString()
+    rows = d.select("kb", "chunk_id", "where", "dl", "w").mapInArrow(_listed, f"kb {kind('kb')}, chunk_id {kind('chunk_id')}, where long, dl int, term string, places array<int>")
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
     dealt = rows.repartition("bucket", F.pmod(F.xxhash64("chunk_id"), F.lit(8))).sortWithinPartitions("bucket", "term")
     dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/terms")
     d.groupBy("kb").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).withColumn("buckets", F.lit(buckets)).write.mode("overwrite").parquet(f"{folder}/kbs")
 
 
+def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each chunk and distinct term of rows(kb, chunk_id, where, dl, w), with the term's places in w; some chunks at once."""
+    for batch in batches:
+        start = 0
+        ends = np.cumsum(pc.fill_null(batch["dl"], 0).to_numpy(zero_copy_only=False).clip(0))
+        while start < batch.num_rows:
+            # about WORDS words, or one chunk
+            before = ends[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, before + WORDS, "right")))
+            some, start = batch.slice(start, stop - start), stop
+            w = some["w"]
+            row = pc.list_parent_indices(w).to_numpy()
+            if len(row):
+                new = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
+                at = np.arange(len(row)) - np.repeat(new, np.diff(np.append(new, len(row))))
+                t_ = pa.table({"row": pa.array(row), "term": pc.list_flatten(w), "at": pa.array(at, pa.int32())}).group_by(["row", "term"], use_threads=False).aggregate([("at", "list")]).combine_chunks()
+                of = some.select(["kb", "chunk_id", "where", "dl"]).take(t_["row"].combine_chunks() if isinstance(t_["row"], pa.ChunkedArray) else t_["row"])
+                term, places = (c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in (t_["term"], t_["at_list"]))
+                yield pa.RecordBatch.from_arrays([*of.columns, term, places], names=["kb", "chunk_id", "where", "dl", "term", "places"])
+
+
 def bm25_stored(spark: SparkSession, folder: str, query: str, collection: str | None = None, glob: str | None = None) -> DataFrame:
     """bm25 over write_postings(...): only the files of the query's terms are opened, and in them only their row groups read."""
     words = list(dict.fromkeys(w for w in (x.replace('"', "").lower() for x in query.split()) if w))
@@ -98,14 +131,17 @@ def bm25_stored(spark: SparkSession, folder: str, query: str, collection: str |
     bucket = [b for (b,) in spark.createDataFrame([(x,) for x in asked], "term string").select(F.pmod(F.xxhash64("term"), F.lit(first["buckets"])).cast("int")).distinct().collect()]
     d = stored.where(F.col("bucket").isin(bucket) & F.col("term").isin(asked))
     # a chunk's places of each asked term: as many as the query has terms, in one row
-    d = d.groupBy("kb", "chunk_id", "dl", "path", "collection").agg(F.map_from_entries(F.collect_list(F.struct("term", "places"))).alias("at"))
+    d = d.groupBy("kb", "chunk_id", "where", "dl", "term").agg(F.array_sort(F.flatten(F.collect_list("places"))).alias("places"))
+    d = d.groupBy("kb", "chunk_id", "where", "dl").agg(F.map_from_entries(F.collect_list(F.struct("term", "places"))).alias("at"))
     tf = F.array(*(_stands([F.coalesce(F.try_element_at("at", F.lit(x)), F.array().cast("array<int>")) for x in p]) for p in phrases))
-    d = d.select("kb", "chunk_id", "dl", "path", "collection", F.explode(F.array(tf)).alias("tf")).where(F.exists("tf", lambda x: x > 0))
+    d = d.select("kb", "chunk_id", "where", "dl", F.explode(F.array(tf)).alias("tf")).where(F.exists("tf", lambda x: x > 0))
     n, many = len(phrases), F.col("n")
     df = d.groupBy("kb").agg(*(F.count_if(F.col("tf")[i] > 0).alias(f"df{i}") for i in range(n)))
     weights = [F.log((many - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5)) for i in range(n)]
     stats = df.join(kbs, "kb").select("kb", "avgdl", F.array(*(F.when(x > 0, x).otherwise(1e-6) for x in weights)).alias("idf"))
-    return _scores(filtered(d, collection, glob).join(stats, "kb"))
+    if collection is not None or glob is not None:
+        d = d.join(filtered(spark.read.parquet(f"{folder}/chunks"), collection, glob), ["kb", "chunk_id", "where"], "left_semi")
+    return _scores(d.join(stats, "kb"))
 
 
 def _stands(places: list[Column]) -> Column:

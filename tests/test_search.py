@@ -1,6 +1,7 @@
 import math
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -57,3 +58,18 @@ def test_cosine_pairs_against_all_pairs(spark, blocks):
     assert sorted((x.a, x.b, round(x.similarity, 9)) for x in got.collect()) == want and len(want) > 20
     empty = spark.createDataFrame(rows, "key string, embedding array<float>").where(F.lit(False))
     assert similarity.cosine_pairs(empty, 0.8, blocks).count() == 0
+
+
+def test_places_listed_where_a_chunk_is_read(spark, tmp_path, monkeypatch):
+    words = [["b", "a", "b"], [], ["a"], None, ["c", "c"], ["a", "b"]]
+    batch = pa.RecordBatch.from_pydict({"kb": ["k"] * 6, "chunk_id": list(range(6)), "where": [0] * 6, "dl": [3, 0, 1, -1, 2, 2], "w": pa.array(words, pa.list_(pa.string()))})
+    want = sorted((k, x, [i for i, y in enumerate(w) if y == x]) for k, w in enumerate(words) for x in set(w or []))
+    for many in (1, 2, 3, 100):
+        monkeypatch.setattr(retrieval, "WORDS", many)
+        for part in (batch, batch.slice(0, 3), batch.slice(2)):
+            ids = part["chunk_id"].to_pylist()
+            got = [(r["chunk_id"], r["term"], r["places"]) for out in retrieval._listed(iter([part])) for r in out.to_pylist()]
+            assert sorted(got) == [x for x in want if x[0] in ids]
+    # paths aren't repeated for each term
+    retrieval.write_postings(corpus(spark), f"{tmp_path}/p", 3)
+    assert not {"path", "collection"} & set(spark.read.parquet(f"{tmp_path}/p/terms").columns)

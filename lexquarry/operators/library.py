@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from lexquarry.functions import text as t
 from lexquarry.operators import radar, substrings
+from lexquarry.operators.similarity import _kept
 
 GRAM = 3
 
@@ -49,15 +50,17 @@ def concept_sources(refs: DataFrame, files: DataFrame) -> DataFrame:
     contain one another; raw papers come before references, then the smaller name. A reference that no file fits stands
     for itself, one with `..` for nothing."""
     file = files.where(F.col("path").rlike(r"^(raw/papers|wiki/references)/[^/]+\.md$") & ~F.endswith("path", F.lit("/_index.md")))
-    file = file.select("path", F.when(F.startswith("path", F.lit("raw/")), 1).otherwise(2).alias("tier"), _stem("path").alias("name")).distinct().withColumn("w", t.slug("name"))
-    r = refs.select("ref").where("ref IS NOT NULL").distinct()
-    named = r.where("NOT contains(ref, '..')").select(F.col("ref").alias("id"), t.slug("ref").alias("text"))
+    # both tables are kept: a filter on a slug would be moved to what the names are made of, whole texts perhaps, and take
+    # them apart again for each time that the slug's expression holds the name
+    name = _stem("path")
+    file = _kept(file.select(t.slug(name).alias("w"), F.struct(F.when(F.startswith("path", F.lit("raw/")), 1).otherwise(2).alias("tier"), name.alias("name"), "path").alias("f")).groupBy("w").agg(F.min("f").alias("f")))
+    r = _kept(refs.select("ref").distinct().select("ref", F.when(~F.contains("ref", F.lit("..")), t.slug("ref")).alias("text"))).where("ref IS NOT NULL")
     # an empty slug is contained in every other, and is no name
-    pairs = substrings.either_contains(named.where("text <> ''"), file.where("w <> ''").select("w"))
-    best = pairs.join(file, "w").groupBy("id").agg(F.min_by(F.struct("path", "name"), F.struct("tier", "name")).alias("f"))
-    found = r.join(best, F.col("ref") == F.col("id"), "left")
+    asked = r.where("text <> ''").select("text").distinct()
+    pairs = substrings.either_contains(asked.select(F.col("text").alias("id"), "text"), file.where("w <> ''").select("w"))
+    best = pairs.join(file, "w").groupBy(F.col("id").alias("text")).agg(F.min("f").alias("f"))
     own = F.when(~F.contains("ref", F.lit("..")), F.col("ref"))
-    return found.select("ref", F.coalesce("f.path", own).alias("path"), F.coalesce("f.name", own).alias("name"))
+    return r.join(best, "text", "left").select("ref", F.coalesce("f.path", own).alias("path"), F.coalesce("f.name", own).alias("name"))
 
 
 def found_cards(targets: DataFrame, cards: DataFrame) -> DataFrame:

@@ -19,11 +19,14 @@ def containing(pieces: DataFrame, texts: DataFrame, letters: int = 3) -> DataFra
     Each piece looks under the one of its runs of `letters` characters that the fewest texts have, or, if it is shorter,
     under itself; texts are listed under their runs of the lengths that occur, of which there are `letters` at most.
     """
+    # strings are few bytes and their runs many rows: dealt out by number, not by the bytes that a shuffle would be cut into
+    many = texts.sparkSession.sparkContext.defaultParallelism
+    pieces, texts = pieces.select("id", "piece").repartition(many), texts.select("w").distinct().repartition(many)
     size = F.least(F.length("piece"), F.lit(letters))
     sizes = [n for (n,) in pieces.where("piece <> ''").select(size).distinct().collect()]
     if not sizes:
         return pieces.select("id", F.col("piece").alias("w")).where("false")
-    listed = texts.select("w").distinct().select("w", F.explode(F.flatten(F.array_compact(F.array(*(_runs("w", n) for n in sizes))))).alias("run"))
+    listed = texts.select("w", F.explode(F.flatten(F.array_compact(F.array(*(_runs("w", n) for n in sizes))))).alias("run"))
     p = pieces.where("piece <> ''").withColumn("n", size).select("id", "piece", F.explode(_runs("piece", F.col("n"))).alias("run"))
     often = listed.join(p.select("run").distinct(), "run").groupBy("run").agg(F.count("*").alias("often"))
     key = p.join(often, "run", "left").groupBy("id", "piece").agg(F.min_by("run", F.struct(F.coalesce("often", F.lit(0)), "run")).alias("run"))

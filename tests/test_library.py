@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from lexquarry.operators import library as lib
 
 
@@ -76,3 +78,21 @@ def test_symptoms(spark):
 def test_boxes(spark):
     b = spark.createDataFrame([(1, 0.0, 0.0, 1.0, 1.0), (1, 5.0, 0.0, 6.0, 1.0), (1, 1.5, 0.0, 4.6, 1.0), (1, 20.0, 0.0, 21.0, 1.0), (2, 0.0, 0.0, 1.0, 1.0)], "page int, x0 double, y0 double, x1 double, y1 double")
     assert rows(lib.clustered_boxes(b, 0.5).select("page", "x0", "x1")) == {(1, 0.0, 6.0), (1, 20.0, 21.0), (2, 0.0, 1.0)}
+
+
+def test_concept_sources(spark):
+    paths = ("raw/papers/Spin_Ice.md", "raw/papers/spin-ice.md", "wiki/references/spin.md", "wiki/references/a.md", "raw/papers/_index.md", "raw/papers/x/deep.md", "raw/papers/!.md")
+    files = spark.createDataFrame([(x,) for x in paths], "path string")
+    texts = ["the Spin Ice review", "spin ice", "PIN", "?", "zz", "../spin", "nothing deep", None, "spin ice"]
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def named(x):
+        seen.add(1)
+        return x
+
+    d = spark.createDataFrame([(x,) for x in texts], "text string").repartition(2).select(named("text").alias("ref"))
+    first = ("raw/papers/Spin_Ice.md", "Spin_Ice")
+    assert rows(lib.concept_sources(d, files)) == {("the Spin Ice review", *first), ("spin ice", *first), ("PIN", *first), ("?", "?", "?"), ("zz", "zz", "zz"), ("../spin", None, None), ("nothing deep", "nothing deep", "nothing deep")}
+    # what the references are made of is worked out once for each
+    assert seen.value == len(texts)

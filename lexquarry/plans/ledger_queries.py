@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexquarry.functions import text as t
@@ -173,8 +173,11 @@ def _eav(spark, d):
     item = o.select(F.col("o_orderkey").alias("itemID"), (F.col("o_orderkey") % 4).cast("int").alias("itemTypeID"), F.col("o_orderkey").cast("string").alias("key"), F.col("o_orderdate").cast("string").alias("dateAdded"))
     types = spark.createDataFrame([(0, "journalArticle"), (1, "book"), (2, "attachment"), (3, "preprint")], "itemTypeID int, typeName string")
     fields = spark.createDataFrame(list(enumerate(bibliography.FIELDS, 1)), "fieldID int, fieldName string")
-    # orders repeat line numbers: a value's number also holds its row's place, of which the first one wins
-    li = table(spark, d, "lineitem").withColumn("valueID", F.struct("l_orderkey", "l_linenumber", -F.col("_metadata.row_index"), F.col("_metadata.file_name")))
+    # orders repeat line numbers: a value's number also holds its row's place, of which the first one wins: files by name,
+    # counted from the last one (a row for each file), then rows
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", F.col("_metadata.file_path").alias("file"), (-F.col("_metadata.row_index")).alias("row"))
+    files = li.select("file").distinct().select("file", F.row_number().over(Window.orderBy(F.desc("file"))).alias("place"))
+    li = li.join(F.broadcast(files), "file").withColumn("valueID", F.struct("l_orderkey", "l_linenumber", "place", "row"))
     data = li.select(F.col("l_orderkey").alias("itemID"), (F.col("l_linenumber") % 6 + 1).alias("fieldID"), "valueID")
     values = li.select("valueID", F.concat(F.lit("v"), F.col("l_partkey").cast("string")).alias("value"))
     return item, types, data, fields, values

@@ -3,6 +3,9 @@
 import datetime
 import math
 
+import pyarrow as pa
+import pyarrow.parquet as pq
+
 from lexquarry import plans
 
 
@@ -36,3 +39,13 @@ def test_library_items_of_repeated_lines(spark, tmp_path):
     lines = [(k, part, line) for line, part in ((1, 5), (7, 6), (7, 9), (7, 4), (4, 2), (4, 1)) for k in range(40)]
     got = rows(spark, tmp_path, "s_library_items", orders=(orders, "o_orderkey long, o_orderdate timestamp"), lineitem=(lines, "l_orderkey long, l_partkey long, l_linenumber int"))
     assert {r[2:] for r in got} == {(None, "v6", "v2")} and len(got) == 30
+
+
+def test_library_items_of_lines_in_several_files(spark, tmp_path):
+    # the first file's row comes first, though further down in its file
+    (tmp_path / "lineitem.parquet").mkdir()
+    for name, parts in (("a", [1, 2, 3, 5]), ("b", [6, 7]), ("c", [4])):
+        lines = {"l_orderkey": [9] * (len(parts) - 1) + [0], "l_partkey": parts, "l_linenumber": pa.array([7] * len(parts), pa.int32())}
+        pq.write_table(pa.table(lines), tmp_path / "lineitem.parquet" / f"{name}.parquet")
+    got = rows(spark, tmp_path, "s_library_items", orders=([(0, datetime.datetime(2024, 1, 1))], "o_orderkey long, o_orderdate timestamp"))
+    assert got == [(0, "journalArticle", None, "v5", None)]

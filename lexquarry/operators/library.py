@@ -58,9 +58,10 @@ def concept_sources(refs: DataFrame, files: DataFrame) -> DataFrame:
     # an empty slug is contained in every other, and is no name
     asked = r.where("text <> ''").select("text").distinct()
     pairs = substrings.either_contains(asked.select(F.col("text").alias("id"), "text"), file.where("w <> ''").select("w"))
-    best = pairs.join(file, "w").groupBy(F.col("id").alias("text")).agg(F.min("f").alias("f"))
+    # merge joins: how many rows a kept table, or what is found in it, has isn't known to the planner, which would broadcast them
+    best = pairs.join(file.hint("merge"), "w").groupBy(F.col("id").alias("text")).agg(F.min("f").alias("f"))
     own = F.when(~F.contains("ref", F.lit("..")), F.col("ref"))
-    return r.join(best, "text", "left").select("ref", F.coalesce("f.path", own).alias("path"), F.coalesce("f.name", own).alias("name"))
+    return r.join(best.hint("merge"), "text", "left").select("ref", F.coalesce("f.path", own).alias("path"), F.coalesce("f.name", own).alias("name"))
 
 
 def found_cards(targets: DataFrame, cards: DataFrame) -> DataFrame:

@@ -28,13 +28,14 @@ def containing(pieces: DataFrame, texts: DataFrame, letters: int = 3) -> DataFra
         return pieces.select("id", F.col("piece").alias("w")).where("false")
     listed = texts.select("w", F.explode(F.flatten(F.array_compact(F.array(*(_runs("w", n) for n in sizes))))).alias("run"))
     p = pieces.where("piece <> ''").withColumn("n", size).select("id", "piece", F.explode(_runs("piece", F.col("n"))).alias("run"))
-    often = listed.join(p.select("run").distinct(), "run").groupBy("run").agg(F.count("*").alias("often"))
-    key = p.join(often, "run", "left").groupBy("id", "piece").agg(F.min_by("run", F.struct(F.coalesce("often", F.lit(0)), "run")).alias("run"))
-    return key.join(listed, "run").where("contains(w, piece)").select("id", "w").distinct()
+    # rows are estimated without the runs that explode makes of them, so the planner would broadcast any number of runs
+    often = listed.join(p.select("run").distinct().hint("merge"), "run").groupBy("run").agg(F.count("*").alias("often"))
+    key = p.join(often.hint("merge"), "run", "left").groupBy("id", "piece").agg(F.min_by("run", F.struct(F.coalesce("often", F.lit(0)), "run")).alias("run"))
+    return key.join(listed.hint("merge"), "run").where("contains(w, piece)").select("id", "w").distinct()
 
 
 def either_contains(a: DataFrame, b: DataFrame, letters: int = 8) -> DataFrame:
     """(id, w): for a(id, text) and b(w) the pairs of which one contains the other."""
     inside = containing(a.select("id", F.col("text").alias("piece")), b, letters)
     around = containing(b.select(F.col("w").alias("id"), F.col("w").alias("piece")).distinct(), a.select(F.col("text").alias("w")), letters)
-    return inside.union(around.select(F.col("w").alias("text"), F.col("id").alias("w")).join(a, "text").select("id", "w")).distinct()
+    return inside.union(around.select(F.col("w").alias("text"), F.col("id").alias("w")).join(a.hint("merge"), "text").select("id", "w")).distinct()
